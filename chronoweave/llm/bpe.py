@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A block ends when its texts have so many characters: bounds a worker's memory.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 40_000_000
 _CACHE: dict = {}
 
 
@@ -104,37 +104,71 @@ def _blocks(pattern: str, want: str):
 
 
 def _encode_words(path: str, pattern: str):
+    """mapInPandas function: ids of the words, packed into one row for a block and some rows read.
+
+    A packed row holds the words' places in the block (ascending, as differences), their numbers of
+    ids, and the ids.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _tables(path, pattern)[0]
-        last, ids = None, b""
+        packer = zstandard.ZstdCompressor(level=1)
+        last, ids = None, np.zeros(0, "<u4")
+        held: list[tuple[np.ndarray, np.ndarray, list[np.ndarray]]] = []
+
+        def packed() -> pd.DataFrame:
+            block = np.concatenate([x[0] for x in held])
+            at = np.concatenate([x[1] for x in held])
+            found = [i for x in held for i in x[2]]
+            held.clear()
+            order = np.lexsort((at, block))
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            rows = []
+            for part in np.split(order, cuts):
+                own = [found[i] for i in part]
+                raw = np.concatenate([np.diff(at[part], prepend=0).astype("<u4"), np.array([len(x) for x in own], "<u4"), *own])
+                rows.append((block[part[0]], len(part), packer.compress(raw.view(np.uint8).reshape(-1, 4).T.tobytes())))
+            return pd.DataFrame(rows, columns=["block", "n", "packed"])
+
         for pdf in batches:
             out = []
             for word in pdf["word"]:
                 if word != last:  # rows come sorted by word
-                    last, ids = word, np.array(enc._encode_single_piece(word.encode()), "<u4").tobytes()
+                    last, ids = word, np.array(enc._encode_single_piece(word.encode()), "<u4")
                 out.append(ids)
-            yield pd.DataFrame({"block": pdf["block"], "at": pdf["at"], "ids": out})
+            held.append((pdf["block"].to_numpy(), pdf["at"].to_numpy(), out))
+            if sum(len(x[1]) for x in held) >= 200_000:
+                yield packed()
+        if held:
+            yield packed()
 
     return run
 
 
+def _unpacked(words: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words in the block, where their ids start, their numbers of ids, all ids."""
+    ats, lens, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for n, packed in zip(words["n"], words["packed"], strict=True):
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        ats.append(np.cumsum(raw[:n].astype(np.int64)))
+        lens.append(raw[n : 2 * n].astype(np.int64))
+        flat.append(raw[2 * n :])
+    length = np.concatenate(lens)
+    return np.concatenate(ats), np.cumsum(length) - length, length, np.concatenate(flat)
+
+
 def _assemble(path: str, pattern: str):
     def run(key, places: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         _, byte_flat, byte_start, byte_len = _tables(path, pattern)
         rows = []
-        order = np.argsort(words["at"].to_numpy(), kind="stable")
-        at = words["at"].to_numpy()[order]
-        parts = words["ids"].to_numpy()[order]
         if len(places) == 0:
             raise RuntimeError("words of a block came without its texts: the input's rows changed between two reads")
-        if len(places) > 1:  # blocks of the same rows (repeated partitions) share their words
-            keep = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
-            at, parts = at[keep], parts[keep]
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        lens = np.array([len(p) // 4 for p in parts], np.int64)
-        starts = np.cumsum(lens) - lens
+        at, starts, lens, flat = _unpacked(words)
+        # repeated partitions make blocks with the same words, which then come twice
+        _, first = np.unique(at, return_index=True)
+        starts, lens = starts[first], lens[first]
         for p in places.itertuples():
-            if p.n_words != len(parts):
+            if p.n_words != len(starts):
                 raise RuntimeError("a block's words are incomplete: the input's rows changed between two reads")
             raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(p.places), np.uint8)
             seq = raw.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) if len(raw) else np.zeros(0, np.int64)
@@ -165,7 +199,7 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, pattern: str, whol
     src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(text).alias("text"))
     words = src.mapInPandas(_blocks(pattern, "words"), "block long, at int, word string")
     places = src.mapInPandas(_blocks(pattern, "places"), "block long, n_words int, keys array<long>, sizes array<int>, places binary")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInPandas(_encode_words(path, pattern), "block long, at int, ids binary")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInPandas(_encode_words(path, pattern), "block long, n int, packed binary")
     digest, full = _assemble(path, pattern)
     pair = places.groupBy("block").cogroup(ids.groupBy("block"))
     if whole:
