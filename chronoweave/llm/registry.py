@@ -19,6 +19,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm import license_scan
+
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm import quality_cnn
 
