@@ -25,6 +25,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chronoweave.llm import line_dedup
+
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoweave.llm import quality_cnn
 

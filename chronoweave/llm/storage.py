@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
@@ -58,3 +59,11 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         delete(t.sparkSession, t._chronoweave_path)
         _LEFT[:] = [x for x in _LEFT if x[1] != t._chronoweave_path]
+
+
+def light(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most_rows`` (narrow) rows.
+
+    Counting reads the files' footers only.  Larger tables are joined by shuffle.
+    """
+    return F.broadcast(table) if table.count() <= most_rows else table
