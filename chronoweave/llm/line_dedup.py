@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.storage import drop, light, written
+from chronoweave.llm.storage import bucketed, drop, light, written
 
 #: Shorter lines tell nothing of their origin and stay.
 MIN_WORDS = 5
@@ -128,7 +128,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0) of all lines to remove, once each."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     equal = _repeated(docs)
-    listed = written(_listed(docs, equal).repartition("token"), "lists", "lz4")
+    listed = bucketed(_listed(docs, equal), "lists", "token")
     line = F.shiftright("at", 40)
     place = F.struct("doc_id", line.cast("int").alias("line_no"))
     other = F.struct(F.col("doc2"), F.shiftright("at2", 40).cast("int"))

@@ -8,8 +8,11 @@ the full sets of the others decide.
 
 Texts with the same set form a class; only a class's first text is compared.  A bucket of equal
 bands does not give all its pairs: its members are first held against its smallest member only.
-Where the links so found leave a bucket in several components, members of different components are
-compared too, so that no component is missed.
+Where the links so found leave a small bucket in several components, members of different
+components are compared too.  Texts that share large buckets (groups of copies, boilerplate) form
+clusters; a cluster is cut into blocks, and each pair of blocks is compared at once on full sets,
+giving no more links than join its components.  So no component is missed, and no group's pairs
+are ever rows.
 """
 
 from __future__ import annotations
@@ -149,6 +152,43 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+#: A larger bucket is compared in blocks of at most about BLOCK texts, two at a time.
+SMALL, BLOCK = 64, 512
+
+
+def _joining(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between texts of different ``part`` that join parts, by exact Jaccard of all pairs."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["s"]]
+    n = np.array([len(x) for x in sets])
+    ids, part = pdf["rep"].to_numpy(), pdf["part"].to_numpy().copy()
+    if len(np.unique(part)) < 2:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = count[at] > 1
+    owner, at = owner[again], np.unique(at[again], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, 8192):
+        own = slice(*np.searchsorted(at, [a, a + 8192]))
+        x = np.zeros((len(sets), 8192), np.float32)
+        x[owner[own], at[own] - a] = 1
+        both += x @ x.T
+    link = SIMILAR[1] * both >= SIMILAR[0] * (n[:, None] + n[None, :] - both)
+    out = []
+    while True:
+        across = link & (part[:, None] != part[None, :])
+        rows = np.flatnonzero(across.any(1))
+        if not len(rows):
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        for i in rows:
+            j = int(across[i].argmax())
+            if part[i] != part[j]:
+                out.append((ids[i], ids[j]))
+                part[part == part[i]] = part[j]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Those of ``a, b`` whose full sets are similar enough.  Only texts of candidates are read into sets."""
     pairs = written(pairs, name + "-candidates")
@@ -183,22 +223,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     info = classes.select("rep", "n", "sketch").dropDuplicates(["rep"])
     first = _verified(_hopefuls(star, info), docs, "links-first")
 
-    # Buckets that these links leave in several components: compare across components.
     part = written(components(first).select(F.col("node").alias("rep"), "component"), "parts")
-    shared = banded.join(leader.select("band"), "band", "left_semi")
+
+    # Small buckets that these links leave in several components: compare across components.
+    shared = banded.join(leader.where(F.col("size") <= SMALL).select("band"), "band", "left_semi")
     placed = shared.join(part, "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("c"))
     split = placed.groupBy("band").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min("rep").alias("lead")).where("least < most")
     open_ = written(placed.join(split, "band").select("band", "rep", "c", "least", "lead"), "open")
-    # Members outside the bucket's first component, against all members of other components.
     outside = open_.where("c <> least").select("band", F.col("rep").alias("x"), F.col("c").alias("cx"), "lead")
     cross = outside.join(open_.select("band", F.col("rep").alias("y"), F.col("c").alias("cy")), "band").where("cx <> cy and (cy < cx) and y <> lead")
-    pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _verified(_hopefuls(pairs, info), docs, "links-second")
 
-    found = components(member.unionByName(first).unionByName(second))
+    # Large buckets: clusters of texts that share some, in blocks.
+    large = banded.join(leader.where(F.col("size") > SMALL), "band").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    cluster = written(components(large).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    sets = docs.join(cluster.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), _sets("text").alias("s"))
+    there = cluster.join(blocks, "cluster").withColumn("own", own).join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).join(sets, "rep")
+    there = there.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    there = there.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "part", "s")
+    third = written(there.groupBy("cluster", "i", "j").applyInPandas(_joining, "a long, b long"), "links-third")
+
+    found = components(member.unionByName(first).unionByName(second).unionByName(third))
     out = sketched.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
-    drop(banded, open_)
+    drop(banded, open_, cluster)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -47,16 +48,48 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_freed(spark):
+        df.write.option("compression", codec).parquet(path)
     _LEFT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._chronoweave_path = path
     return out
 
 
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """A query that ends in here leaves no shuffle files: its result is written, nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As :func:`written`, dealt and sorted by ``key`` into as many buckets as shuffles have partitions.
+
+    Joins and aggregations by ``key`` then need no shuffle.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mark = uuid.uuid4().hex
+    path = f"{shared_folder(spark)}/{name}-{mark}"
+    with _shuffles_freed(spark):
+        df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(f"chronoweave_{mark}")
+    _LEFT.append((spark, path))
+    out = spark.table(f"chronoweave_{mark}")
+    out._chronoweave_path, out._chronoweave_table = path, f"chronoweave_{mark}"
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables of :func:`written` that no later plan reads."""
     for t in tables:
+        if hasattr(t, "_chronoweave_table"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._chronoweave_table}")
         delete(t.sparkSession, t._chronoweave_path)
         _LEFT[:] = [x for x in _LEFT if x[1] != t._chronoweave_path]
 
