@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweave.llm.components import components
-from chronoweave.llm.storage import drop, written
+from chronoweave.llm.storage import drop, light, written
 
 WORDS = 5  # in a shingle
 SIMILAR = (75, 100)  # intersection / union, at least
@@ -192,12 +192,12 @@ def _joining(pdf: pd.DataFrame) -> pd.DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Those of ``a, b`` whose full sets are similar enough.  Only texts of candidates are read into sets."""
     pairs = written(pairs, name + "-candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    full = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", _sets("text").alias("s")), name + "-sets", "lz4")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), name + "-ids")
+    full = written(docs.join(light(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", _sets("text").alias("s")), name + "-sets", "lz4")
     left = full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     out = written(pairs.join(left, "a").join(right, "b").where(_linked("sa", "sb")).select("a", "b"), name)
-    drop(pairs, full)
+    drop(pairs, ids, full)
     return out
 
 
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cluster = written(components(large).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    sets = docs.join(cluster.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), _sets("text").alias("s"))
+    sets = docs.join(light(cluster).select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), _sets("text").alias("s"))
     there = cluster.join(blocks, "cluster").withColumn("own", own).join(part, "rep", "left").withColumn("part", F.coalesce("component", "rep")).join(sets, "rep")
     there = there.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     there = there.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "part", "s")
@@ -262,5 +262,5 @@ def _hopefuls(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with their own columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    return docs.join(light(gone), "doc_id", "left_anti").select(*docs.columns)
