@@ -151,6 +151,7 @@ LABELLED: list[tuple[str, list[str]]] = [
     (f"<div>Login</div><div>{_LONG}</div><div>{_LONG}</div><div>Share</div>", [_LONG, _LONG]),
     (f"<article><header><h1>Vote</h1></header><p>{_SHORT}</p><footer><p>{_MID}</p></footer></article><nav>{_LONG}</nav>", ["Vote", _SHORT]),
     (f"<p>{_MID}</p>", [_MID]),
+    ("<p>Up</p>", ["Up"]),
     (f"<article><p><a href=1>{_LONG}</a></p><p><a href=1>{_MID}</a></p><h2><a href=1>{_MID}</a></h2><p>{_LONG}</p></article><ul><li><a href=1>{_MID}</a></li></ul>", [_LONG, _MID, _MID, _LONG]),
     (f"<main><p>Up</p><p><a href=1>Down</a></p></main>", ["Up", "Down"]),
     (f"<div>{_LONG}</div><div><a href=1>{_MID}</a></div><div><a href=1>{_MID}</a></div><div>{_LONG}</div>", [_LONG, _LONG]),
@@ -173,7 +174,7 @@ def table() -> tuple[np.ndarray, np.ndarray]:
     return np.array(x, np.float64), np.array(y)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     """A tree: (label,) at a leaf, else (feature, bound, tree for <= bound, tree for > bound)."""
     if depth == 0 or len(set(y)) < 2:
         return (int(y.mean() >= 0.5),)

@@ -28,19 +28,21 @@ MIN_WORDS = 5
 #: Jaccard similarity as a fraction.
 SIMILAR = (3, 4)
 CELLS = 1 << 18
-_LINE = "struct<line_no:int,line:string>"
+#: Words from which on a line has the wider parity.
+LONG = 64
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line`` of lines with MIN_WORDS words or more."""
-    many = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= MIN_WORDS - 1
-    many = many | F.contains("line", F.lit("\t"))
-    out = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(many)
-    return out.where(F.size(_words(F.col("line"))) >= MIN_WORDS)
+    # counting spaces is cheap, and enough for lines without odd white space
+    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
+    odd = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | F.contains("line", F.lit("\r")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
+    enough = F.when(odd, F.size(_words(F.col("line"))) >= MIN_WORDS).otherwise(spaces >= MIN_WORDS - 1)
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(enough)
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> Column:
     """For each hash cell, 64 * log2 of its count of words, as a constant array of CELLS numbers."""
-    cell = F.pmod(F.xxhash64("w"), F.lit(CELLS))
+    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1))
     counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(cell.alias("cell")).count().collect()  # CELLS rows at most
     table = [0] * CELLS
     for r in counts:
@@ -80,15 +82,23 @@ def _listed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     lines = lines.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("line_no"))).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
     lines = lines.where(F.size("words") >= MIN_WORDS)
     # 20 bits of rarity above 43 bits of hash
-    token = lambda w: F.shiftleft(F.element_at(rarity, (F.pmod(F.xxhash64(w), F.lit(CELLS)) + 1).cast("int")).cast("long"), 43).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 43) - 1)))
-    lines = lines.select("doc_id", "line_no", F.sort_array(F.array_distinct(F.transform("words", token))).alias("tokens"))
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 37).bitwiseAND(F.lit(63)).cast("int"))
-    lines = lines.select("doc_id", "line_no", "tokens", F.size("tokens").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(bit(t))).alias("parity"))
+    hashes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
+    token = lambda h: F.shiftleft(F.element_at(rarity, (h.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int")).cast("long"), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
+    lines = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, token)).alias("tokens")).withColumn("n", F.size("tokens"))
+    bits = lambda by: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, by).bitwiseAND(F.lit(63)).cast("int"))))
+    # long lines differ in so many words that 64 bits tell nothing; they get 128
+    lines = lines.withColumns({"parity": F.when(F.col("n") <= LONG, bits(37)).otherwise(_wide(0)), "more": F.when(F.col("n") > LONG, _wide(1)).otherwise(F.lit(0).cast("long"))})
     a, b = SIMILAR
     prefix = F.expr(f"n - (({a} * n + {b - 1}) div {b}) + 1").cast("int")
-    out = lines.select("doc_id", "line_no", "n", "parity", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("place", "token"))
+    out = lines.select("doc_id", "line_no", "n", "parity", "more", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("place", "token"))
     at = F.shiftleft(F.col("line_no").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 20)).bitwiseOR(F.col("place").cast("long"))
-    return out.select("token", "doc_id", at.alias("at"), "parity")
+    return out.select("token", "doc_id", at.alias("at"), "parity", "more")
+
+
+def _wide(half: int) -> Column:
+    """Half of a 128-bit parity: of the tokens whose seventh bit is ``half``."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 37).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: F.when(F.shiftright(t, 36).bitwiseAND(F.lit(1)) == half, a.bitwiseXOR(bit(t))).otherwise(a))
 
 
 def _may_match() -> Column:
@@ -101,14 +111,17 @@ def _may_match() -> Column:
     i, j = F.col("at").bitwiseAND(F.lit((1 << 20) - 1)), F.col("at2").bitwiseAND(F.lit((1 << 20) - 1))
     lengths = (b * F.least(nx, ny) >= a * F.greatest(nx, ny))
     places = (a + b) * F.least(nx - i, ny - j) >= a * (nx + ny)
-    apart = F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2")))
+    # two long lines have 128 bits; folding those gives a long line's 64 bits beside a short one
+    x, y = F.col("parity").bitwiseXOR(F.col("parity2")), F.col("more").bitwiseXOR(F.col("more2"))
+    both = (nx > LONG) == (ny > LONG)
+    apart = F.when(both, F.bit_count(x) + F.bit_count(y)).otherwise(F.bit_count(x.bitwiseXOR(y)))
     parities = (a + b) * (nx + ny - apart) >= 2 * a * (nx + ny)
     return lengths & places & parities
 
 
 def _matched(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """``doc_id, line_no`` of each later line of ``pairs`` (doc_id, line_no, doc2, line2) that is similar enough."""
-    pairs = written(pairs, name + "-pairs")
+    pairs = written(pairs, name + "-pairs", sorted_buckets=True)
     ids = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no"))).distinct()
     wanted = written(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("_want")).withColumnRenamed("doc_id", "_doc"), name + "-wanted")
     texts = docs.select("doc_id", "text").join(light(wanted), F.col("doc_id") == F.col("_doc"))
@@ -133,14 +146,14 @@ def later_matches(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", line.cast("int").alias("line_no"))
     other = F.struct(F.col("doc2"), F.shiftright("at2", 40).cast("int"))
     pair = ("doc_id", line.cast("int").alias("line_no"), "doc2", F.shiftright("at2", 40).cast("int").alias("line2"))
-    first = listed.groupBy("token").agg(F.min(F.struct("doc_id", "at", "parity")).alias("f"), F.count("*").alias("size")).where("size > 1")
-    first = first.select(F.col("token").alias("token2"), F.col("f.doc_id").alias("doc2"), F.col("f.at").alias("at2"), F.col("f.parity").alias("parity2"))
+    first = listed.groupBy("token").agg(F.min(F.struct("doc_id", "at", "parity", "more")).alias("f"), F.count("*").alias("size")).where("size > 1")
+    first = first.select(F.col("token").alias("token2"), F.col("f.doc_id").alias("doc2"), F.col("f.at").alias("at2"), F.col("f.parity").alias("parity2"), F.col("f.more").alias("more2"))
     early = listed.join(first, F.col("token") == F.col("token2")).where((place > other) & _may_match()).select(*pair).distinct()
     gone = _matched(early, docs, "lines-first")
 
     done = light(gone.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")))
     open_ = listed.join(done, (F.col("doc_id") == F.col("_d")) & (line.cast("int") == F.col("_l")), "left_anti")
-    all_ = listed.select(F.col("token").alias("token2"), F.col("doc_id").alias("doc2"), F.col("at").alias("at2"), F.col("parity").alias("parity2"))
+    all_ = listed.select(F.col("token").alias("token2"), F.col("doc_id").alias("doc2"), F.col("at").alias("at2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
     rest = open_.join(all_, F.col("token") == F.col("token2")).where((place > other) & _may_match()).select(*pair).distinct()
     more = _matched(rest, docs, "lines-more")
     drop(listed)

@@ -40,15 +40,17 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", sorted_buckets: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage: a lost executor costs no recomputation of what is written.
-    The table goes when the driver ends, or by :func:`drop`.
+    The table goes when the driver ends, or by :func:`drop`.  ``sorted_buckets``: what ``df`` reads of
+    :func:`bucketed` tables is taken as sorted.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_freed(spark):
+    more = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"} if sorted_buckets else {}
+    with _shuffles_freed(spark, more):
         df.write.option("compression", codec).parquet(path)
     _LEFT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -57,21 +59,23 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 @contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession):
+def _shuffles_freed(spark: SparkSession, more: dict[str, str] | None = None):
     """A query that ends in here leaves no shuffle files: its result is written, nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **(more or {})}
+    before = {key: spark.conf.get(key, None) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As :func:`written`, dealt and sorted by ``key`` into as many buckets as shuffles have partitions.
 
-    Joins and aggregations by ``key`` then need no shuffle.
+    Joins and aggregations by ``key`` then need no shuffle.  Each bucket is one file, so it is sorted.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
