@@ -53,7 +53,7 @@ def _features(p: np.ndarray) -> np.ndarray:
 
 def _head(model: dict, f: np.ndarray) -> np.ndarray:
     """Probabilities of label 1 from texts' features, one row each."""
-    u = np.maximum(f @ model["hidden"] + model["hidden_bias"], 0)
+    u = np.tanh(f @ model["hidden"] + model["hidden_bias"])
     return 1 / (1 + np.exp(-np.clip((u @ model["out"] + model["out_bias"][0]).astype(np.float64), -500, 500)))
 
 
@@ -77,7 +77,7 @@ def train(rows: list[tuple[bytes, int]], seen: int = 24_000, seed: int = 3, rate
     }
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in m.items()}
     step = 0
-    epochs = int(np.clip(seen // len(rows), 4, 40))  # so many texts are looked at, whatever their number
+    epochs = int(np.clip(seen // len(rows), 4, 200))  # so many texts are looked at, whatever their number
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 32):
@@ -92,9 +92,9 @@ def train(rows: list[tuple[bytes, int]], seen: int = 24_000, seed: int = 3, rate
                 at = z.argmax(1)
                 p = np.maximum(np.take_along_axis(z, at[:, None], 1)[:, 0] + m["bias"], 0)
                 f = _features(p)
-                u = np.maximum(f @ m["hidden"] + m["hidden_bias"], 0)
+                u = np.tanh(f @ m["hidden"] + m["hidden_bias"])
                 d = np.float32((_head(m, f[None])[0] - ys[i]) / len(batch))
-                du = d * m["out"] * (u > 0)
+                du = d * m["out"] * (1 - u * u)
                 grad["out"] += d * u
                 grad["out_bias"] += d
                 grad["hidden"] += np.outer(f, du)
