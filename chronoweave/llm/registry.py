@@ -78,6 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from chronoweave.llm import mixing
+    from chronoweave.llm import oracle
 
-    return {"op6_mixing": mixing.SQL}
+    return oracle.all_sql()
