@@ -26,7 +26,7 @@ SAMPLE, PER_LIST, MOST_LISTS = 20_000, 150, 1024
 #: A vector goes to up to REPLICAS lists whose distance is up to CLOSURE times the least one.
 REPLICAS, CLOSURE = 4, 1.06
 #: A query reads lists up to PRUNE times the least distance, LISTS at least.
-PRUNE, LISTS = 1.22, 12
+PRUNE, LISTS = 1.28, 12
 BLOCK = 4096
 _HELD: dict = {}
 
