@@ -211,7 +211,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are not looked at; an empty table gives an empty one.
     """
     docs = docs.select("doc_id", "text")
-    sketched = written(docs.mapInPandas(_sketched, "doc_id long, n_shingles long, mark binary, sketch binary"), "sketches")
+    # ids go as text: beside nulls pandas would make them floats
+    own = docs.withColumn("doc_id", F.col("doc_id").cast("long").cast("string"))
+    sketched = own.mapInPandas(_sketched, "doc_id string, n_shingles long, mark binary, sketch binary")
+    sketched = written(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
     real = sketched.where("doc_id is not null and mark is not null")
     classes = written(real.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     # Copies: same set, or one doc_id with several texts.

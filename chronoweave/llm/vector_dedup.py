@@ -137,7 +137,9 @@ def near_vectors(table: DataFrame) -> DataFrame:
     dealt = classes.select("rep", "size", "x", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("rep", F.lit(3)).alias("h"))
     graphs = written(dealt.groupBy("shard").applyInPandas(_built, "shard int, ids binary, sizes binary, xs binary, layers array<binary>"), "vector-graphs")
     first = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
-    asked = classes.select("rep", "x", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(parts)).cast("int").alias("part")).withColumn("kind", F.lit(1))
+    asked = classes.select("rep", "x", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(parts)).cast("int").alias("part"))
+    # with few classes some shards have none
+    asked = asked.join(F.broadcast(graphs.select("shard")), "shard").withColumn("kind", F.lit(1))
     # a partition for each shard and part, as near as hashing allows
     both = first.unionByName(asked, allowMissingColumns=True).repartition(4 * shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
     found = written(both.mapInPandas(_queried, "rep long, n long, to long"), "vector-links")
@@ -145,7 +147,7 @@ def near_vectors(table: DataFrame) -> DataFrame:
     total = found.groupBy("rep").agg(F.sum("n").alias("n"))
     done = classes.join(total, "rep", "left").join(near, "rep", "left")
     done = done.select("mark", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = v.select("vec_id", "mark").join(done, "mark", "left")
+    out = v.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("mark")).alias("mark")).join(done, "mark", "left")
     drop(graphs)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -25,7 +25,10 @@ def packed(table: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
                 rows.append((k, xxhash.xxh3_128_digest(raw) if ok else None, raw))
             yield pd.DataFrame(rows, columns=["vec_id", "mark", "x"])
 
-    return table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(run, "vec_id long, mark binary, x binary")
+    # ids go as text: beside nulls pandas would make them floats
+    own = table.select(F.col(key).cast("long").cast("string").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    out = own.mapInPandas(run, "vec_id string, mark binary, x binary")
+    return out.withColumn("vec_id", F.col("vec_id").cast("long"))
 
 
 def matrix(col) -> np.ndarray:
