@@ -6,7 +6,7 @@ of SIMILAR or more, later ones go; order is by (doc_id, line number).
 Equal lines are found by hash.  The others: words are ordered by rarity (counts of all words, kept
 in 2^18 hash cells; any one order gives the same result), and a line is listed under its rarest
 words, as many as two similar lines cannot both avoid.  Two lines of a list are candidates if
-their lengths, the places of the word in both orders, and a 64-bit parity of their words allow
+their lengths, the places of the word in both orders, and a 128-bit parity of their words allow
 the similarity.  Candidates are verified on their words.
 
 Whether a line goes takes one earlier match only.  So each list is first held against its earliest
@@ -28,8 +28,6 @@ MIN_WORDS = 5
 #: Jaccard similarity as a fraction.
 SIMILAR = (3, 4)
 CELLS = 1 << 18
-#: Words from which on a line has the wider parity.
-LONG = 64
 
 
 def _words(line: Column) -> Column:
@@ -56,13 +54,13 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """For each hash cell, 64 * log2 of its count of words, as a constant array of CELLS numbers."""
+    """For each hash cell, 64 * log2 of its count of words, 43 bits up, as a constant array of CELLS numbers."""
     cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1))
     counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(cell.alias("cell")).count().collect()  # CELLS rows at most
     table = [0] * CELLS
     for r in counts:
-        table[r["cell"]] = int(64 * math.log2(r["count"]))
-    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<int>")
+        table[r["cell"]] = int(64 * math.log2(r["count"])) << 43
+    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -83,22 +81,30 @@ def _listed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     lines = lines.where(F.size("words") >= MIN_WORDS)
     # 20 bits of rarity above 43 bits of hash
     hashes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
-    token = lambda h: F.shiftleft(F.element_at(rarity, (h.bitwiseAND(F.lit(CELLS - 1)) + 1).cast("int")).cast("long"), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
+    # never null, so that arrays of them sort as plain numbers
+    token = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
     lines = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, token)).alias("tokens")).withColumn("n", F.size("tokens"))
-    bits = lambda by: F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, by).bitwiseAND(F.lit(63)).cast("int"))))
-    # long lines differ in so many words that 64 bits tell nothing; they get 128
-    lines = lines.withColumns({"parity": F.when(F.col("n") <= LONG, bits(37)).otherwise(_wide(0)), "more": F.when(F.col("n") > LONG, _wide(1)).otherwise(F.lit(0).cast("long"))})
+    lines = lines.withColumns({"parity": _parity(0), "more": _parity(1)})
     a, b = SIMILAR
     prefix = F.expr(f"n - (({a} * n + {b - 1}) div {b}) + 1").cast("int")
     out = lines.select("doc_id", "line_no", "n", "parity", "more", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("place", "token"))
     at = F.shiftleft(F.col("line_no").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 20)).bitwiseOR(F.col("place").cast("long"))
-    return out.select("token", "doc_id", at.alias("at"), "parity", "more")
+    # 32 bits of the word are enough to list by: words that share them only make more candidates
+    short = F.col("token").bitwiseXOR(F.shiftright("token", 32)).bitwiseAND(F.lit((1 << 32) - 1))
+    return out.select(short.alias("token"), "doc_id", at.alias("at"), "parity", "more")
 
 
-def _wide(half: int) -> Column:
+def _parity(half: int) -> Column:
     """Half of a 128-bit parity: of the tokens whose seventh bit is ``half``."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 37).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: F.when(F.shiftright(t, 36).bitwiseAND(F.lit(1)) == half, a.bitwiseXOR(bit(t))).otherwise(a))
+    # a shift takes its distance modulo 64
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(t, 37).cast("int"))
+    own = F.lit(half << 36).cast("long")
+    return F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: F.when(t.bitwiseAND(F.lit(1 << 36)) == own, a.bitwiseXOR(bit(t))).otherwise(a))
+
+
+def _apart() -> Column:
+    """At least so many words are in one line only: bits in which two parities differ."""
+    return F.bit_count(F.col("parity").bitwiseXOR(F.col("parity2"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more2")))
 
 
 def _may_match() -> Column:
@@ -111,11 +117,7 @@ def _may_match() -> Column:
     i, j = F.col("at").bitwiseAND(F.lit((1 << 20) - 1)), F.col("at2").bitwiseAND(F.lit((1 << 20) - 1))
     lengths = (b * F.least(nx, ny) >= a * F.greatest(nx, ny))
     places = (a + b) * F.least(nx - i, ny - j) >= a * (nx + ny)
-    # two long lines have 128 bits; folding those gives a long line's 64 bits beside a short one
-    x, y = F.col("parity").bitwiseXOR(F.col("parity2")), F.col("more").bitwiseXOR(F.col("more2"))
-    both = (nx > LONG) == (ny > LONG)
-    apart = F.when(both, F.bit_count(x) + F.bit_count(y)).otherwise(F.bit_count(x.bitwiseXOR(y)))
-    parities = (a + b) * (nx + ny - apart) >= 2 * a * (nx + ny)
+    parities = (a + b) * (nx + ny - _apart()) >= 2 * a * (nx + ny)
     return lengths & places & parities
 
 
@@ -154,8 +156,13 @@ def later_matches(docs: DataFrame) -> DataFrame:
     done = light(gone.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")))
     open_ = listed.join(done, (F.col("doc_id") == F.col("_d")) & (line.cast("int") == F.col("_l")), "left_anti")
     all_ = listed.select(F.col("token").alias("token2"), F.col("doc_id").alias("doc2"), F.col("at").alias("at2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
-    rest = open_.join(all_, F.col("token") == F.col("token2")).where((place > other) & _may_match()).select(*pair).distinct()
-    more = _matched(rest, docs, "lines-more")
+    rest = open_.join(all_, F.col("token") == F.col("token2")).where((place > other) & _may_match()).select(*pair, _apart().alias("apart")).distinct()
+    rest = written(rest, "lines-open", sorted_buckets=True)
+    # the likeliest match of each line first, the others for lines that it did not remove
+    best = rest.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "doc2", "line2")).alias("b")).select("doc_id", "line_no", "b.doc2", "b.line2")
+    more = _matched(best, docs, "lines-best")
+    still = rest.join(light(more), ["doc_id", "line_no"], "left_anti")
+    more = more.unionByName(_matched(still.select("doc_id", "line_no", "doc2", "line2"), docs, "lines-more"))
     drop(listed)
     return equal.unionByName(gone).unionByName(more)
 
