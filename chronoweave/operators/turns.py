@@ -30,6 +30,11 @@ def unique_speakers(turns: DataFrame) -> DataFrame:
     return first.withColumn("place", F.row_number().over(W.partitionBy("media_id").orderBy("_f")) - 1).drop("_f")
 
 
+def counts(turns: DataFrame) -> DataFrame:
+    """``media_id, speakers, tagged``: distinct speakers, and rows that have one."""
+    return turns.groupBy("media_id").agg(F.count_distinct("speaker_id").alias("speakers"), F.count("speaker_id").alias("tagged"))
+
+
 def next_index(turns: DataFrame) -> DataFrame:
     """``media_id, next``: one more than the largest N of ``spk_N``; other names do not count."""
     n = F.try_to_number(F.nullif(F.regexp_extract("speaker_id", r"^spk_(\d{1,9})$", 1), F.lit("")), F.lit("999999999")).cast("int")

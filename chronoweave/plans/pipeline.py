@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.operators import assemble, frames, regions, segments, speakers, turns
+from chronoweave.plans.options import overridden
 from chronoweave.plans.stages import Stage
 from chronoweave.sources import media
 from chronoweave.sources.config import Config, load
@@ -87,7 +88,7 @@ def transcripts(spark: SparkSession, pcm: DataFrame, models: Models, config: Con
     sound = None
     if models.tagger is not None and c.sound_enabled:
         o = {"least": c.sound_least, "top_k": c.sound_top_k, "gap_ms": ms(c.sound_gap_s), "least_ms": ms(c.sound_min_s), "exclude_speech": c.sound_exclude_speech}
-        o |= {k: v for k, v in (overrides or {}).items() if v is not None and k in o}
+        o = overridden(o, overrides)
         spans = regions.overlapping_windows(all_media, ms(c.sound_window_s), ms(c.sound_overlap_s))
         probs = models.tagger.apply(media.windows(pcm, spans, c.sound_rate)).where("error is null").drop("error")
         one = frames.events(probs, models.frame_ms, models.labels, allow=c.sound_allow, **o)

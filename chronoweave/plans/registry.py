@@ -403,6 +403,19 @@ def j9_j10_linked_speakers(spark, d):
     return turns.linked(t.drop("_s"), w, v, 43_200_000)
 
 
+@query(f"WITH {EV}, {TURN}, {SPAN}, {BEST} SELECT sp.media_id, count(DISTINCT speaker_id) AS speakers, count(speaker_id) AS tagged FROM sp LEFT JOIN ov USING (media_id, span_id) GROUP BY 1")
+def a14_speaker_counts(spark, d):
+    return turns.counts(intervals.best_overlap(_spans(spark, d), _turns(spark, d)))
+
+
+@query("SELECT c_mktsegment AS media_id, 'spk_' || (c_custkey % 4) AS id, sum(greatest(0, floor(c_acctbal)))::BIGINT AS speech_ms, count(*) AS segment_count, any_value(r_name) AS embedding FROM customer LEFT JOIN region ON 'spk_' || r_regionkey = 'spk_' || (c_custkey % 4) AND r_regionkey <> 3 GROUP BY 1, 2")
+def j8_roster_embeddings(spark, d):
+    c = _table(spark, d, "customer")
+    s = c.select(F.col("c_mktsegment").alias("media_id"), F.concat(F.lit("spk_"), F.col("c_custkey") % 4).alias("speaker_id"), F.lit(0).cast("long").alias("start_ms"), F.floor("c_acctbal").cast("long").alias("end_ms"))
+    r = _table(spark, d, "region").where("r_regionkey <> 3").select(F.concat(F.lit("spk_"), "r_regionkey").alias("speaker_id"), F.col("r_name").alias("vector"))
+    return speakers.roster(s, s.select("media_id", "speaker_id").distinct().join(r, "speaker_id"))
+
+
 # --- segments and text -------------------------------------------------------------------------------
 
 
@@ -526,6 +539,24 @@ def j7_map_aligned(spark, d):
     return segments.aligned(o, f).select("media_id", "id", "language", "avg_logprob", "alignment_failed")
 
 
+@query("SELECT conv_id AS media_id, turn AS chunk, (row_number() OVER (PARTITION BY conv_id ORDER BY (turn * 7) % 5, turn) - 1)::INT AS ord FROM conversations")
+def o2_stitched_segments(spark, d):
+    c = _table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("chunk"), F.lit(0).alias("seg"), ((F.col("turn") * 7) % 5).alias("start_ms"))
+    return segments.stitched(c).drop("seg", "start_ms")
+
+
+@query(
+    """WITH s AS (SELECT *, turn / 10.0 AS c FROM conversations WHERE role <> 'system')
+    SELECT conv_id AS media_id, turn AS ord, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS id, round(CASE WHEN c > 0 THEN ln(greatest(least(c, 1), 1e-6)) ELSE -0.5 END, 9) AS avg_logprob,
+           len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS n_words FROM s"""
+)
+def p20_typed_segments(spark, d):
+    c = _table(spark, d, "conversations")
+    none = F.lit(None).cast("double")
+    t = c.select(F.col("conv_id").alias("media_id"), F.col("turn").alias("ord"), F.when(F.col("role") == "system", "sound").otherwise("speech").alias("kind"), (F.col("turn") / 10).alias("confidence"), none.alias("avg_logprob"), none.alias("no_speech_prob"), none.alias("compression_ratio"), F.lit(None).cast("boolean").alias("alignment_failed"), F.transform(F.split("text", " "), lambda w: F.struct(w.alias("word"))).alias("words"))
+    return segments.typed(t).select("media_id", "ord", "id", F.round("avg_logprob", 9).alias("avg_logprob"), F.size("words").alias("n_words"))
+
+
 # --- the timeline ------------------------------------------------------------------------------------
 
 

@@ -114,6 +114,11 @@ def forced_language(config: Config) -> str | None:
     return None if config.language.lower() in {"", "auto", "none"} else config.language
 
 
+def preload_languages(config: Config) -> tuple[str, ...]:
+    """Languages whose alignment models to load first: the aligner's own, else the forced one, else English."""
+    return (config.align_language or forced_language(config) or "en",)
+
+
 def load_env_file(environ: dict | None = None, start: Path | None = None) -> Path | None:
     """Set variables from an env file; those that are set already stay.
 

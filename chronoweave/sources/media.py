@@ -46,6 +46,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("media_id"), "content")
 
 
+def arriving(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`files`, a stream over a landing folder: each file once, when it has arrived."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).load(path).select(F.col("path").alias("media_id"), "content")
+
+
 def blocks(media: DataFrame, rates: tuple[int, ...] = (RATE,), decoder: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav, block_s: int = BLOCK_S) -> DataFrame:
     """PCM blocks of each file at each of ``rates``, from one decoding.
 

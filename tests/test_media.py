@@ -107,6 +107,20 @@ def test_config_and_env_file(tmp_path):
     assert config.load_env_file({"ENV_FILE": str(tmp_path / "none")}) is None
 
 
+def test_options():
+    from chronoweave.plans.options import Options, overridden
+
+    o = Options.from_dict({"language": " Auto ", "align": True, "sound": {"top_k": 1}, "other": 1})
+    assert o.language is None and o.align and Options.from_dict(o.to_dict()) == o
+    assert overridden({"a": 1, "b": 2}, {"a": None, "b": 3, "c": 4}) == {"a": 1, "b": 3}
+    assert config.preload_languages(config.load({"ASR_LANGUAGE": "uk"})) == ("uk",)
+
+
+def test_arriving_files(spark, folder, tmp_path):
+    s = media.arriving(spark, folder).writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    assert s.awaitTermination(60) and spark.table("arrived").count() == 3
+
+
 def test_streamed_regions(spark, tmp_path):
     x = np.concatenate([np.zeros(8_000, np.float32), tone(1.03), np.zeros(3_000, np.float32), tone(0.5)])
     src = tmp_path / "in"
