@@ -30,8 +30,8 @@ def is_mostly_uppercase(text: Column) -> Column:
     chars = F.filter(F.split(letters, ""), lambda c: (c != "") & (F.upper(c) != F.lower(c)))
     upper = F.size(F.filter(chars, lambda c: c == F.upper(c)))
     lower = F.size(F.filter(chars, lambda c: (c != F.upper(c)) & (c == F.lower(c))))
-    # a cheap look first: most texts have a lower-case letter within reach of one regular expression
-    return F.coalesce(F.when(text.rlike(r"\p{Ll}") & ~text.rlike(r"\p{Lu}"), F.lit(False)).otherwise((upper + lower >= 3) & (lower == 0)), F.lit(False))
+    # one small Latin letter settles it, and most texts have one: no look at each character then
+    return F.coalesce(F.when(text.rlike("[a-z]"), F.lit(False)).otherwise((upper + lower >= 3) & (lower == 0)), F.lit(False))
 
 
 def normalize_segment_text(text: Column) -> Column:
