@@ -16,8 +16,6 @@ A large group of variants of one line thus costs its size, not its square.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +52,17 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """For each hash cell, 64 * log2 of its count of words, 43 bits up, as a constant array of CELLS numbers."""
+    """For each hash cell, 64 * log2 of its count of words, as a constant array of CELLS numbers.
+
+    The array is put together by one task and comes to the driver as one short text.
+    """
     cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1))
-    counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(cell.alias("cell")).count().collect()  # CELLS rows at most
-    table = [0] * CELLS
-    for r in counts:
-        table[r["cell"]] = int(64 * math.log2(r["count"])) << 43
-    return F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+    counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+    every = docs.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
+    rank = F.floor(64 * F.log2(F.greatest(F.sum("n"), F.lit(1)))).cast("int")
+    full = counts.unionByName(every).groupBy("cell").agg(rank.alias("rank"))
+    text = full.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "rank"))), lambda x: x["rank"].cast("string")), ",").alias("t")).first()["t"]
+    return F.from_json(F.lit(f"[{text}]"), "array<int>")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def _listed(docs: DataFrame, gone: DataFrame) -> DataFrame:
     # 20 bits of rarity above 43 bits of hash
     hashes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
     # never null, so that arrays of them sort as plain numbers
-    token = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
+    token = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0)).cast("long"), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
     lines = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, token)).alias("tokens")).withColumn("n", F.size("tokens"))
     lines = lines.withColumns({"parity": _parity(0), "more": _parity(1)})
     a, b = SIMILAR
@@ -129,16 +131,29 @@ def _matched(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     texts = docs.select("doc_id", "text").join(light(wanted), F.col("doc_id") == F.col("_doc"))
     lines = texts.select("doc_id", "_want", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_want", F.col("line_no")))
     words = written(lines.select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "line_no"]), name + "-words")
+    a, b = SIMILAR
+    # wide parities first: in a large group most candidates are refuted by 64 bytes of each line
+    signs = words.select("doc_id", "line_no", F.size("words").alias("n"), _signature(F.transform("words", lambda w: F.xxhash64(w))).alias("s"))
+    other = signs.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    apart = F.aggregate(F.zip_with("s", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = pairs.join(signs, ["doc_id", "line_no"]).join(other, ["doc2", "line2"])
+    near = written(near.where((a + b) * (F.col("n") + F.col("n2") - apart) >= 2 * a * (F.col("n") + F.col("n2"))).select(*pairs.columns), name + "-near")
     left = words.withColumnRenamed("words", "x")
     right = words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    a, b = SIMILAR
-    out = pairs.join(left, ["doc_id", "line_no"]).join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
+    out = near.join(left, ["doc_id", "line_no"]).join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
     out = written(out.select("doc_id", "line_no").distinct(), name)
-    drop(pairs, wanted, words)
+    drop(pairs, wanted, words, near)
     return out
 
 
+def _signature(hashes: Column) -> Column:
+    """A 512-bit parity of hashes, as 8 numbers."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 9).bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda t, h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(7)) == k, t.bitwiseXOR(bit(h))).otherwise(t))
+    return F.array(*[part(k) for k in range(8)])
+
+
 def later_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0) of all lines to remove, once each."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
