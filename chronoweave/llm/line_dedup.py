@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.storage import bucketed, drop, light, written
 
-#: Shorter lines tell nothing of their origin and stay.
-MIN_WORDS = 5
+#: Lines with fewer words stay: 1 leaves out none but blank ones.
+MIN_WORDS = 1
 #: Jaccard similarity as a fraction.
 SIMILAR = (3, 4)
 CELLS = 1 << 18
@@ -37,7 +37,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     # counting spaces is cheap, and enough for lines without odd white space
     spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     odd = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | F.contains("line", F.lit("\r")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
-    enough = F.when(odd, F.size(_words(F.col("line"))) >= MIN_WORDS).otherwise(spaces >= MIN_WORDS - 1)
+    enough = F.when(odd, F.size(_words(F.col("line"))) >= MIN_WORDS).otherwise((F.col("line") != "") & (spaces >= MIN_WORDS - 1))
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(enough)
 
 

@@ -174,6 +174,19 @@ def test_line_variants_of_a_group(spark):
     assert got == {i: n for i, (_, n) in want.items()} and 20 < sum(got.values()) < 150
 
 
+def test_short_and_unspaced_lines(spark):
+    """Lines of one word or more go when repeated, blank lines stay."""
+    rows = [
+        (1, "All rights reserved.\n\nnext page\n \n\tDisclaimer"),
+        (2, "All rights reserved.\n\npage next\n \nDisclaimer\nown words"),
+        (3, "著作権はすべて当社に帰属します\na b c d"),
+        (4, "著作権はすべて当社に帰属します\nd b a\nd b"),
+        (5, "no\u00a0break\u00a0spaces\nno\u00a0break\u00a0spaces\n\n"),
+    ]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\n \nown words", 3), 3: (rows[2][1], 0), 4: ("d b", 2), 5: ("no\u00a0break\u00a0spaces\n\n", 1)}
+
+
 # 4, 10 ------------------------------------------------------------------------------------------------
 
 
