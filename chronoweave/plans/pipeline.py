@@ -25,14 +25,17 @@ class Models:
     detector: rows (media_id, pcm) to ord, kind, at_ms.  recogniser: rows (media_id, chunk, offset_ms, pcm)
     to language, language_probability, segments (see segments.recognised), keeping media_id, chunk, offset_ms.
     tagger: rows (media_id, window, pcm) to frame, class, prob.  diarizer: rows (media_id, window, pcm)
-    to ord, start_ms, end_ms, speaker_id.  aligner: rows (media_id, language, id, text, start_ms, end_ms)
-    to the columns of segments.aligned.
+    to ord, start_ms, end_ms, speaker_id.  embedder: rows (media_id, clip, pcm), a clip being a speaker's
+    speech, to vector array<double>, keeping media_id, clip; without it, every window's speakers get names
+    of their own, and the roster has no embeddings.  aligner: rows (media_id, language, id, text, start_ms,
+    end_ms) to the columns of segments.aligned.
     """
 
     detector: Stage
     recogniser: Stage
     tagger: Stage | None = None
     diarizer: Stage | None = None
+    embedder: Stage | None = None
     aligner: Stage | None = None
     frame_ms: int = 10
     labels: DataFrame | None = None
@@ -44,6 +47,32 @@ def health(config: Config | None = None) -> dict:
     return {"status": "ok", "model": c.model, "diarization": c.speakers_enabled, "alignment": c.align_enabled, "sound_events": c.sound_enabled}
 
 
+def _embedded(pcm: DataFrame, spans: DataFrame, embedder: Stage, least_ms: int) -> DataFrame:
+    """``media_id, window, side, speaker_id, vector`` of the speech in ``spans`` (those, ord, start_ms, end_ms).
+
+    Speakers with ``least_ms`` of speech or more, their first 30 s; unit vectors, rounded as the response has them.
+    """
+    key = F.to_json(F.struct("window", "side", "speaker_id"))
+    taken = turns.clip_budget(spans.select("media_id", key.alias("speaker_id"), "ord", "start_ms", "end_ms"), least_ms)
+    taken = taken.select("media_id", F.struct("speaker_id", "start_ms", "end_ms", "ord").alias("window"), "start_ms", (F.col("start_ms") + F.col("take_ms")).alias("end_ms"))
+    cut = media.windows(pcm, taken).select("media_id", F.col("window.speaker_id").alias("clip"), F.struct("window.start_ms", "window.end_ms", "window.ord", "pcm").alias("_x"))
+    clips = cut.groupBy("media_id", "clip").agg(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["pcm"])).alias("pcm"))
+    out = embedder.apply(clips).where("error is null").withColumn("_k", F.from_json("clip", "window int, side string, speaker_id string"))
+    size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
+    return out.where(size > 0).select("media_id", "_k.window", "_k.side", "_k.speaker_id", F.transform("vector", lambda x: F.round(x / size, 6)).alias("vector"))
+
+
+def _seams(local: DataFrame, spans: DataFrame, overlap_ms: int) -> DataFrame:
+    """``local`` turns inside the overlaps: a window's own (side local), and those of the window before (prior)."""
+    # a seam with nobody behind it links nobody, so its prior speakers are left out
+    seam = spans.where("window > 0").select("media_id", "window", F.col("start_ms").alias("_from"), (F.col("start_ms") + overlap_ms).alias("_to"))
+    seam = seam.join(local.select("media_id", "window").distinct(), ["media_id", "window"], "left_semi")
+    own = local.join(seam, ["media_id", "window"]).withColumn("side", F.lit("local"))
+    before = local.join(seam.withColumn("window", F.col("window") - 1), ["media_id", "window"]).withColumn("side", F.lit("prior"))
+    both = own.unionByName(before).withColumns({"start_ms": F.greatest("start_ms", "_from"), "end_ms": F.least("end_ms", "_to")})
+    return both.where("end_ms > start_ms").drop("_from", "_to")
+
+
 def transcripts(spark: SparkSession, pcm: DataFrame, models: Models, config: Config | None = None, overrides: dict | None = None) -> DataFrame:
     """``media_id, body`` for each decoded media in ``pcm`` (blocks of :mod:`media`).
 
@@ -78,11 +107,15 @@ def transcripts(spark: SparkSession, pcm: DataFrame, models: Models, config: Con
         local = models.diarizer.apply(media.windows(pcm, spans)).where("error is null")
         local = local.join(spans.select("media_id", "window", F.col("start_ms").alias("_w")), ["media_id", "window"])
         local = local.withColumns({"start_ms": F.col("start_ms") + F.col("_w"), "end_ms": F.col("end_ms") + F.col("_w")}).drop("_w", "error")
-        none = spark.createDataFrame([], "media_id string, window int, speaker_id string, side string, vector array<double>")
-        named = turns.remapped(local, turns.linked(local, spans, none, ms(c.speakers_overlap_s), c.speakers_threshold))
+        if models.embedder is not None:
+            vectors = _embedded(pcm, _seams(local, spans, ms(c.speakers_overlap_s)), models.embedder, ms(c.speakers_min_speech_s))
+        else:
+            vectors = spark.createDataFrame([], "media_id string, window int, speaker_id string, side string, vector array<double>")
+        named = turns.remapped(local, turns.linked(local, spans, vectors, ms(c.speakers_overlap_s), c.speakers_threshold))
         final = turns.merged_windows(named, spans, ms(c.speakers_overlap_s))
         speech = speakers.assigned(speech, final).withColumn("ord", F.struct("ord", "part")).drop("part")
-        who = speakers.roster(speech)
+        heard_in_all = final.withColumns({"window": F.lit(0), "side": F.lit("whole")})
+        who = speakers.roster(speech, _embedded(pcm, heard_in_all, models.embedder, 3000) if models.embedder is not None else None)
     else:
         speech = speech.withColumn("ord", F.struct("ord", F.lit(0).alias("part")))
     sound = None

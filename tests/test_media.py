@@ -86,6 +86,32 @@ def test_whole_chain(spark, folder):
     assert b["language"] == "unknown" and b["text"] == "" and "c.wav" not in out
 
 
+def test_speakers_over_three_windows(spark, tmp_path):
+    """A speaker keeps one id in all windows, and has an embedding."""
+    t = np.arange(5 * 16_000) / 16_000
+    x = np.concatenate([0.5 * np.sin(2 * np.pi * f * t) for f in (440, 1000)]).astype(np.float32)
+    (tmp_path / "d.wav").write_bytes(media.wav_bytes(x, 16_000))
+    said = [("ONE", 0.0, 2.0, 0.9), ("TWO", 2.0, 5.0, 0.9), ("THREE", 5.0, 7.5, 0.9), ("FOUR", 7.5, 10.0, 0.9)]
+    local = {0: [(0, 0, 4000, "u")], 1: [(0, 0, 2000, "p"), (1, 2000, 4000, "q")], 2: [(0, 0, 4000, "z")]}
+
+    def embed(_, row):
+        m = np.abs(np.fft.rfft(row.pcm))
+        return [([float(m[round(f * len(row.pcm) / 16_000)]) for f in (440, 1000)],)]
+
+    word = "array<struct<word:string,start:double,end:double,probability:double>>"
+    seg = f"array<struct<text:string,start:double,end:double,avg_logprob:double,no_speech_prob:double,compression_ratio:double,words:{word}>>"
+    models = Models(
+        detector=energy_detector(),
+        recogniser=Stage("asr3", lambda: None, lambda _, r: [("en", 0.9, [("ONE TWO THREE FOUR", 0.0, 10.0, -0.1, 0.0, 1.0, said)])], f"language string, language_probability double, segments {seg}", (("media_id", "string"), ("chunk", "int"), ("offset_ms", "long"))),
+        diarizer=Stage("diar3", lambda: None, lambda _, r: local[r.window], "ord int, start_ms long, end_ms long, speaker_id string", (("media_id", "string"), ("window", "int"))),
+        embedder=Stage("embed3", lambda: None, embed, "vector array<double>", (("media_id", "string"), ("clip", "string"))),
+    )
+    c = config.load({"SPEAKERS_ENABLED": "yes", "SPEAKERS_CHUNK_S": "4", "SPEAKERS_CHUNK_OVERLAP_S": "1"})
+    body = json.loads(transcripts(spark, media.blocks(media.files(spark, str(tmp_path))), models, c).first().body)
+    assert [(s["text"], s["speaker_id"]) for s in body["segments"]] == [("one two", "spk_0"), ("three four", "spk_1")]
+    assert [(s["id"], s["speech_seconds"], [round(v) for v in s["embedding"]]) for s in body["speakers"]] == [("spk_0", 5.0, [1, 0]), ("spk_1", 5.0, [0, 1])]
+
+
 def test_stage_failures_are_rows(spark):
     def infer(m, row):
         if row.x == 2:
