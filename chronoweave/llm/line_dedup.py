@@ -3,15 +3,17 @@ r"""Line dedup by an exact set-similarity join, in DataFrame functions only.
 A line is its set of words (between spaces and tabs).  Of lines whose sets have a Jaccard similarity
 of SIMILAR or more, later ones go; order is by (doc_id, line number).
 
-Equal lines are found by hash.  The others: words are ordered by rarity (counts of all words, kept
-in 2^18 hash cells; any one order gives the same result), and a line is listed under its rarest
-words, as many as two similar lines cannot both avoid.  Two lines of a list are candidates if
-their lengths, the places of the word in both orders, and a 128-bit parity of their words allow
-the similarity.  Candidates are verified on their words.
-
-Whether a line goes takes one earlier match only.  So each list is first held against its earliest
-line; only lines that this did not remove are then held against all earlier lines of their lists.
-A large group of variants of one line thus costs its size, not its square.
+Equal lines are found by hash.  The others: words are ordered by rarity (counts of all words, in
+2^CELL_BITS hash cells; any one order gives the same result), and a line is listed under its rarest
+words, as many as two similar lines cannot both avoid.  Under a word that stands FREQUENT times or
+more it is listed together with each word that may be the second one shared: two similar lines
+share two words at least, and the second is not far behind.  So no list is as long as a frequent
+word's count.  Two lines of a list are candidates if their lengths, the places of the word in both
+orders, and a 128-bit parity of their words allow the similarity; they are verified on their words.
+
+Whether a line goes takes one earlier match only.  So a part of the lists is first held against
+their earliest lines; only lines that this did not remove are then held against all earlier lines
+of all their lists.  A large group of variants of one line thus costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -25,7 +27,12 @@ from chronoweave.llm.storage import bucketed, drop, light, written
 MIN_WORDS = 1
 #: Jaccard similarity as a fraction.
 SIMILAR = (3, 4)
-CELLS = 1 << 18
+#: The table of ranks has one byte for each of 2^CELL_BITS cells, whatever the input.
+CELL_BITS = 18
+#: Words of so many occurrences are listed in pairs.
+FREQUENT = 1 << 13
+#: Lines that equal so many others are joined apart from the rest.
+COMMON = 1000
 
 
 def _words(line: Column) -> Column:
@@ -42,27 +49,41 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` of lines that an earlier line equals."""
+    """``doc_id, line_no`` of lines that an earlier line equals.
+
+    Lines that stand very often are few: they are joined by broadcast, apart from the others, so that
+    no task gets all places of one line.
+    """
     lines = written(_lines(docs).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
     first = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = lines.join(first, ["h", "h2"]).where(F.struct("doc_id", "line_no") > F.col("first")).select("doc_id", "line_no")
-    out = written(out.distinct(), "lines-equal")
-    drop(lines)
+    first = written(first.select("h", "h2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), "n"), "lines-classes")
+    parts = [light(first)]
+    if parts[0] is first:
+        common = written(first.where(F.col("n") >= COMMON), "lines-common")
+        parts = [light(common), first.where(F.col("n") < COMMON)]
+    later = F.struct("doc_id", "line_no") > F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
+    out = None
+    for part in parts:
+        found = lines.join(part, ["h", "h2"]).where(later).select("doc_id", "line_no")
+        out = found if out is None else out.unionByName(found)
+    out = written(out, "lines-equal")
+    drop(lines, first)
     return out
 
 
-def _rarity(docs: DataFrame) -> Column:
-    """For each hash cell, 64 * log2 of its count of words, as a constant array of CELLS numbers.
-
-    The array is put together by one task and comes to the driver as one short text.
-    """
-    cell = F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1))
+def _ranks(docs: DataFrame) -> DataFrame:
+    """One row with 4 * log2 of each hash cell's count of words, as an array of bytes."""
+    cell = F.xxhash64("w").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
     counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n"))
-    rank = F.floor(64 * F.log2(F.greatest(F.sum("n"), F.lit(1)))).cast("int")
-    full = counts.unionByName(every).groupBy("cell").agg(rank.alias("rank"))
-    text = full.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "rank"))), lambda x: x["rank"].cast("string")), ",").alias("t")).first()["t"]
-    return F.from_json(F.lit(f"[{text}]"), "array<int>")
+    every = docs.sparkSession.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
+    full = counts.unionByName(every).groupBy("cell").agg(_rank(F.greatest(F.sum("n"), F.lit(1))).alias("rank"))
+    # one task holds the whole table: its size does not depend on the input
+    table = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    return written(table, "word-ranks", conf={"spark.sql.codegen.aggregate.fastHashMap.capacityBit": str(CELL_BITS)})
+
+
+def _rank(n: Column) -> Column:
+    return F.floor(4 * F.log2(n)).cast("tinyint")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -71,29 +92,36 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(light(by_doc), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
 
 
-def _listed(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``token, doc_id, at, parity``: lines under their rarest words.
+def _listed(docs: DataFrame, gone: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``token, doc_id, line_no, size, parity, more``: lines under their rarest words, or pairs of words.
 
-    at packs line number, number of distinct words, and the word's place in their order.
+    size packs the number of distinct words and the word's place in their order, 32 bits each.
     """
-    rarity = _rarity(docs)
     rest = _without(docs.select("doc_id", "text"), gone)
     lines = rest.select("doc_id", "_gone", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("line_no"))).select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    lines = lines.where(F.size("words") >= MIN_WORDS)
-    # 20 bits of rarity above 43 bits of hash
-    hashes = F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))
-    # never null, so that arrays of them sort as plain numbers
-    token = lambda h: F.shiftleft(F.coalesce(F.get(rarity, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")), F.lit(0)).cast("long"), 43).bitwiseOR(h.bitwiseAND(F.lit((1 << 43) - 1)))
+    lines = lines.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("line_no")))
+    # the ranks come in above the lines, in one projection with what reads them: no row ever carries them
+    lines = lines.select("doc_id", "line_no", "line").withColumn("_ranks", ranks.scalar())
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    # 8 bits of rarity above 56 bits of hash; never null, so that arrays of them sort as plain numbers
+    rank = lambda h: F.coalesce(F.get("_ranks", h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("long")
+    token = lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
     lines = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, token)).alias("tokens")).withColumn("n", F.size("tokens"))
     lines = lines.withColumns({"parity": _parity(0), "more": _parity(1)})
     a, b = SIMILAR
-    prefix = F.expr(f"n - (({a} * n + {b - 1}) div {b}) + 1").cast("int")
-    out = lines.select("doc_id", "line_no", "n", "parity", "more", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("place", "token"))
-    at = F.shiftleft(F.col("line_no").cast("long"), 40).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 20)).bitwiseOR(F.col("place").cast("long"))
-    # 32 bits of the word are enough to list by: words that share them only make more candidates
-    short = F.col("token").bitwiseXOR(F.shiftright("token", 32)).bitwiseAND(F.lit((1 << 32) - 1))
-    return out.select(short.alias("token"), "doc_id", at.alias("at"), "parity", "more")
+    # of two similar lines neither has more than n - prefix + 1 words that the other lacks; lines of one or two words only match equal sets
+    prefix = F.when(F.col("n") < MIN_WORDS, 0).when(F.col("n") < 3, 1).otherwise(F.expr(f"n - (({a} * n + {b - 1}) div {b}) + 1")).cast("int")
+    out = lines.withColumn("prefix", prefix)
+    out = out.select("doc_id", "line_no", "n", "parity", "more", "prefix", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("place", "t"))
+    often = (F.shiftright("t", 56) >= _rank(F.lit(FREQUENT))) & (F.col("n") >= 3)
+    last = F.when(often, F.col("prefix")).otherwise(F.col("place") + 1)
+    out = out.select("doc_id", "line_no", "n", "parity", "more", "tokens", "place", "t", often.alias("often"), F.explode(F.sequence(F.col("place") + 1, last)).alias("second"))
+    key = F.when(F.col("n") < 3, F.xxhash64("tokens")).when(F.col("often"), F.xxhash64("t", F.get("tokens", F.col("second")))).otherwise(F.col("t"))
+    # at the first pair shared, what follows in both is counted from the place before the second word
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("second") - 1).cast("long"))
+    # 31 bits of the key are enough to list by: words that share them only make more candidates
+    short = key.bitwiseXOR(F.shiftright(key, 32)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return out.select(short.alias("token"), "doc_id", "line_no", size.alias("size"), "parity", "more")
 
 
 def _parity(half: int) -> Column:
@@ -110,75 +138,96 @@ def _apart() -> Column:
 
 
 def _may_match() -> Column:
-    """Of rows x (``at, parity``) and y (``at2, parity2``) of one list: do lengths, places and parities allow the similarity?
+    """Of rows x (``size, parity``) and y (``size2, parity2``) of one list: do lengths, places and parities allow the similarity?
 
     At the first word two similar lines share, what follows it in both must be enough.
     """
     a, b = SIMILAR
-    nx, ny = F.shiftright("at", 20).bitwiseAND(F.lit((1 << 20) - 1)), F.shiftright("at2", 20).bitwiseAND(F.lit((1 << 20) - 1))
-    i, j = F.col("at").bitwiseAND(F.lit((1 << 20) - 1)), F.col("at2").bitwiseAND(F.lit((1 << 20) - 1))
+    nx, ny = F.shiftright("size", 32), F.shiftright("size2", 32)
+    i, j = F.col("size").bitwiseAND(F.lit((1 << 32) - 1)), F.col("size2").bitwiseAND(F.lit((1 << 32) - 1))
     lengths = (b * F.least(nx, ny) >= a * F.greatest(nx, ny))
     places = (a + b) * F.least(nx - i, ny - j) >= a * (nx + ny)
     parities = (a + b) * (nx + ny - _apart()) >= 2 * a * (nx + ny)
-    return lengths & places & parities
+    return lengths & parities & places
 
 
-def _matched(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """``doc_id, line_no`` of each later line of ``pairs`` (doc_id, line_no, doc2, line2) that is similar enough."""
-    pairs = written(pairs, name + "-pairs", sorted_buckets=True)
+def _texts(pairs: DataFrame, docs: DataFrame, name: str, signed: bool = False) -> DataFrame:
+    """``doc_id, line_no, words``: the lines of ``pairs`` with their distinct words; ``signed``: and parities ``s0`` to ``s3``."""
     ids = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no"))).distinct()
     wanted = written(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("_want")).withColumnRenamed("doc_id", "_doc"), name + "-wanted")
     texts = docs.select("doc_id", "text").join(light(wanted), F.col("doc_id") == F.col("_doc"))
     lines = texts.select("doc_id", "_want", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_want", F.col("line_no")))
-    words = written(lines.select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "line_no"]), name + "-words")
+    words = lines.select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "line_no"])
+    if signed:
+        # 31 bits of a hash, so that shifts of it are whole numbers
+        words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1))))
+        words = words.select("doc_id", "line_no", "words", *[_sign(k).alias(f"s{k}") for k in range(4)])
+    words = written(words, name + "-words")
+    drop(wanted)
+    return words
+
+
+def _matched(pairs: DataFrame, words: DataFrame, name: str, signed: bool = False) -> DataFrame:
+    """``doc_id, line_no`` of each later line of ``pairs`` (doc_id, line_no, doc2, line2) that is similar enough."""
     a, b = SIMILAR
-    # wide parities first: in a large group most candidates are refuted by 64 bytes of each line
-    signs = words.select("doc_id", "line_no", F.size("words").alias("n"), _signature(F.transform("words", lambda w: F.xxhash64(w))).alias("s"))
-    other = signs.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-    apart = F.aggregate(F.zip_with("s", "s2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(signs, ["doc_id", "line_no"]).join(other, ["doc2", "line2"])
-    near = written(near.where((a + b) * (F.col("n") + F.col("n2") - apart) >= 2 * a * (F.col("n") + F.col("n2"))).select(*pairs.columns), name + "-near")
-    left = words.withColumnRenamed("words", "x")
+    if signed:
+        # wide parities first: they refute most of many candidates by 32 bytes of each line
+        signs = words.select("doc_id", "line_no", F.size("words").alias("n"), *[F.col(f"s{k}") for k in range(4)])
+        other = signs.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
+        apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(4)), F.lit(0))
+        near = pairs.join(signs, ["doc_id", "line_no"]).join(other, ["doc2", "line2"])
+        near = near.where((a + b) * (F.col("n") + F.col("n2") - apart) >= 2 * a * (F.col("n") + F.col("n2"))).select("doc_id", "line_no", "doc2", "line2")
+        pairs = near = written(near, name + "-near")
+    left = words.select("doc_id", "line_no", F.col("words").alias("x"))
     right = words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = near.join(left, ["doc_id", "line_no"]).join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
+    out = pairs.join(left, ["doc_id", "line_no"]).join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
     out = written(out.select("doc_id", "line_no").distinct(), name)
-    drop(pairs, wanted, words, near)
+    if signed:
+        drop(near)
     return out
 
 
-def _signature(hashes: Column) -> Column:
-    """A 512-bit parity of hashes, as 8 numbers."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 9).bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda k: F.aggregate(hashes, F.lit(0).cast("long"), lambda t, h: F.when(F.shiftright(h, 6).bitwiseAND(F.lit(7)) == k, t.bitwiseXOR(bit(h))).otherwise(t))
-    return F.array(*[part(k) for k in range(8)])
+def _sign(k: int) -> Column:
+    """A quarter of a 256-bit parity of ``hashes``."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 9).cast("int"))
+    return F.aggregate("hashes", F.lit(0).cast("long"), lambda t, h: F.when(F.shiftright(h, 7).bitwiseAND(F.lit(3)) == k, t.bitwiseXOR(bit(h))).otherwise(t))
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no`` (from 0) of all lines to remove, once each."""
+    """``doc_id, line_no`` (from 0) of all lines to remove, some more than once."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     equal = _repeated(docs)
-    listed = bucketed(_listed(docs, equal), "lists", "token")
-    line = F.shiftright("at", 40)
-    place = F.struct("doc_id", line.cast("int").alias("line_no"))
-    other = F.struct(F.col("doc2"), F.shiftright("at2", 40).cast("int"))
-    pair = ("doc_id", line.cast("int").alias("line_no"), "doc2", F.shiftright("at2", 40).cast("int").alias("line2"))
-    first = listed.groupBy("token").agg(F.min(F.struct("doc_id", "at", "parity", "more")).alias("f"), F.count("*").alias("size")).where("size > 1")
-    first = first.select(F.col("token").alias("token2"), F.col("f.doc_id").alias("doc2"), F.col("f.at").alias("at2"), F.col("f.parity").alias("parity2"), F.col("f.more").alias("more2"))
-    early = listed.join(first, F.col("token") == F.col("token2")).where((place > other) & _may_match()).select(*pair).distinct()
-    gone = _matched(early, docs, "lines-first")
+    ranks = _ranks(docs)
+    listed = bucketed(_listed(docs, equal, ranks), "lists", "token")
+    drop(ranks)
+    line = ["doc_id", "line_no", "size", "parity", "more"]
+    later = (F.col("doc_id") > F.col("doc2")) | ((F.col("doc_id") == F.col("doc2")) & (F.col("line_no") > F.col("line2")))
+    pair = ("doc_id", "line_no", "doc2", "line2")
+
+    # lists of each line's rarest words, and of one word in eight
+    some = listed.where((F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) < 2) | (F.col("token").bitwiseAND(F.lit(7)) == 0))
+    first = some.groupBy("token").agg(F.min(F.struct(*line)).alias("f"), F.count("*").alias("rows")).where("rows > 1")
+    first = first.select(F.col("token").alias("token2"), F.col("f.doc_id").alias("doc2"), F.col("f.line_no").alias("line2"), F.col("f.size").alias("size2"), F.col("f.parity").alias("parity2"), F.col("f.more").alias("more2"))
+    early = some.join(first, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair).distinct()
+    early = written(early, "lines-early", sorted_buckets=True)
+    words = _texts(early, docs, "lines-early")
+    gone = _matched(early, words, "lines-first")
+    drop(early, words)
 
     done = light(gone.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")))
-    open_ = listed.join(done, (F.col("doc_id") == F.col("_d")) & (line.cast("int") == F.col("_l")), "left_anti")
-    all_ = listed.select(F.col("token").alias("token2"), F.col("doc_id").alias("doc2"), F.col("at").alias("at2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
-    rest = open_.join(all_, F.col("token") == F.col("token2")).where((place > other) & _may_match()).select(*pair, _apart().alias("apart")).distinct()
+    open_ = listed.join(done, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
+    all_ = listed.select(F.col("token").alias("token2"), F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("size").alias("size2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
+    rest = open_.join(all_, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair, _apart().alias("apart")).distinct()
     rest = written(rest, "lines-open", sorted_buckets=True)
+    drop(listed)
     # the likeliest match of each line first, the others for lines that it did not remove
+    words = _texts(rest, docs, "lines-rest", signed=True)
     best = rest.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "doc2", "line2")).alias("b")).select("doc_id", "line_no", "b.doc2", "b.line2")
-    more = _matched(best, docs, "lines-best")
+    more = _matched(best, words, "lines-best")
     still = rest.join(light(more), ["doc_id", "line_no"], "left_anti")
-    more = more.unionByName(_matched(still.select("doc_id", "line_no", "doc2", "line2"), docs, "lines-more"))
-    drop(listed)
+    more = more.unionByName(_matched(still.select(*pair), words, "lines-more", signed=True))
+    drop(rest, words)
     return equal.unionByName(gone).unionByName(more)
 
 
@@ -188,15 +237,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Null texts stay null, with 0 lines; an empty text has one empty line.  Rows that repeat a doc_id
     are one document whose lines have the same numbers, and lose the same ones; a line is never
     a later match of itself.  Rows without a doc_id are left as they are.  Lines that are equal as
-    sets match.  An empty table gives an empty one.
+    sets match.  Own columns may have any name.  An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "n_removed")
-    out = _without(docs, later_matches(docs))
+    # own columns travel under one name, so that none can clash with those of the join
+    held = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("_own"))
+    out = _without(held, later_matches(docs))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = out.withColumns({"n_lines": n, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)})
-    return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0))).select(*docs.columns, "n_lines", "n_removed")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text")
+    own = [F.col("doc_id") if c == "doc_id" else text if c == "text" else F.col("_own")[c].alias(c) for c in docs.columns]
+    removed = F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long")
+    return out.select(*own, n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:
@@ -204,4 +257,4 @@ def keep_new_lines(docs: DataFrame) -> DataFrame:
     out = deduplicated(docs).where("n_removed = 0 or text <> ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
