@@ -11,9 +11,8 @@ share two words at least, and the second is not far behind.  So no list is as lo
 word's count.  Two lines of a list are candidates if their lengths, the places of the word in both
 orders, and a 128-bit parity of their words allow the similarity; they are verified on their words.
 
-Whether a line goes takes one earlier match only.  So a part of the lists is first held against
-their earliest lines; only lines that this did not remove are then held against all earlier lines
-of all their lists.  A large group of variants of one line thus costs its size, not its square.
+Whether a line goes takes one earlier match only.  So each list is first held against its earliest
+line; only lines that this did not remove are then held against all earlier lines of their lists.  A large group of variants of one line thus costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -151,40 +150,39 @@ def _may_match() -> Column:
     return lengths & parities & places
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, name: str, signed: bool = False) -> DataFrame:
-    """``doc_id, line_no, words``: the lines of ``pairs`` with their distinct words; ``signed``: and parities ``s0`` to ``s3``."""
+def _texts(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``doc_id, line_no, words, s0, .. s3``: the lines of ``pairs`` with their distinct words and a 256-bit parity of them."""
     ids = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no"))).distinct()
     wanted = written(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("_want")).withColumnRenamed("doc_id", "_doc"), name + "-wanted")
     texts = docs.select("doc_id", "text").join(light(wanted), F.col("doc_id") == F.col("_doc"))
     lines = texts.select("doc_id", "_want", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_want", F.col("line_no")))
     words = lines.select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "line_no"])
-    if signed:
-        # 31 bits of a hash, so that shifts of it are whole numbers
-        words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1))))
-        words = words.select("doc_id", "line_no", "words", *[_sign(k).alias(f"s{k}") for k in range(4)])
+    # 31 bits of a hash, so that shifts of it are whole numbers
+    words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1))))
+    words = words.select("doc_id", "line_no", "words", *[_sign(k).alias(f"s{k}") for k in range(4)])
     words = written(words, name + "-words")
     drop(wanted)
     return words
 
 
-def _matched(pairs: DataFrame, words: DataFrame, name: str, signed: bool = False) -> DataFrame:
-    """``doc_id, line_no`` of each later line of ``pairs`` (doc_id, line_no, doc2, line2) that is similar enough."""
+def _matched(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
+    """``doc_id, line_no`` of each later line of the written table ``pairs`` (doc_id, line_no, doc2, line2) that is similar enough."""
     a, b = SIMILAR
-    if signed:
-        # wide parities first: they refute most of many candidates by 32 bytes of each line
-        signs = words.select("doc_id", "line_no", F.size("words").alias("n"), *[F.col(f"s{k}") for k in range(4)])
-        other = signs.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
-        apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(4)), F.lit(0))
-        near = pairs.join(signs, ["doc_id", "line_no"]).join(other, ["doc2", "line2"])
-        near = near.where((a + b) * (F.col("n") + F.col("n2") - apart) >= 2 * a * (F.col("n") + F.col("n2"))).select("doc_id", "line_no", "doc2", "line2")
-        pairs = near = written(near, name + "-near")
-    left = words.select("doc_id", "line_no", F.col("words").alias("x"))
+    # wide parities first: they refute most of many candidates by 32 bytes of each line
+    signs = words.select("doc_id", "line_no", F.size("words").alias("n"), *[F.col(f"s{k}") for k in range(4)])
+    other = signs.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(4)), F.lit(0))
+    near = signs.join(light(pairs), ["doc_id", "line_no"]).join(other, ["doc2", "line2"])
+    near = near.where((a + b) * (F.col("n") + F.col("n2") - apart) >= 2 * a * (F.col("n") + F.col("n2"))).select("doc_id", "line_no", "doc2", "line2")
+    near = written(near, name + "-near")
+    left = words.select("doc_id", "line_no", F.col("words").alias("x")).join(light(near), ["doc_id", "line_no"])
     right = words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
+    # the lines that a pair names, and no others, go through the shuffle
+    right = right.join(light(written(near.select("doc2", "line2").distinct(), name + "-wanted")), ["doc2", "line2"], "left_semi")
     both = F.size(F.array_intersect("x", "y"))
-    out = pairs.join(left, ["doc_id", "line_no"]).join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
+    out = left.join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
     out = written(out.select("doc_id", "line_no").distinct(), name)
-    if signed:
-        drop(near)
+    drop(near)
     return out
 
 
@@ -205,11 +203,9 @@ def later_matches(docs: DataFrame) -> DataFrame:
     later = (F.col("doc_id") > F.col("doc2")) | ((F.col("doc_id") == F.col("doc2")) & (F.col("line_no") > F.col("line2")))
     pair = ("doc_id", "line_no", "doc2", "line2")
 
-    # lists of each line's rarest words, and of one word in eight
-    some = listed.where((F.col("size").bitwiseAND(F.lit((1 << 32) - 1)) < 2) | (F.col("token").bitwiseAND(F.lit(7)) == 0))
-    first = some.groupBy("token").agg(F.min(F.struct(*line)).alias("f"), F.count("*").alias("rows")).where("rows > 1")
+    first = listed.groupBy("token").agg(F.min(F.struct(*line)).alias("f"), F.count("*").alias("rows")).where("rows > 1")
     first = first.select(F.col("token").alias("token2"), F.col("f.doc_id").alias("doc2"), F.col("f.line_no").alias("line2"), F.col("f.size").alias("size2"), F.col("f.parity").alias("parity2"), F.col("f.more").alias("more2"))
-    early = some.join(first, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair).distinct()
+    early = listed.join(first, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair).distinct()
     early = written(early, "lines-early", sorted_buckets=True)
     words = _texts(early, docs, "lines-early")
     gone = _matched(early, words, "lines-first")
@@ -222,12 +218,15 @@ def later_matches(docs: DataFrame) -> DataFrame:
     rest = written(rest, "lines-open", sorted_buckets=True)
     drop(listed)
     # the likeliest match of each line first, the others for lines that it did not remove
-    words = _texts(rest, docs, "lines-rest", signed=True)
+    words = _texts(rest, docs, "lines-rest")
     best = rest.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "doc2", "line2")).alias("b")).select("doc_id", "line_no", "b.doc2", "b.line2")
+    best = written(best, "lines-likeliest")
     more = _matched(best, words, "lines-best")
-    still = rest.join(light(more), ["doc_id", "line_no"], "left_anti")
-    more = more.unionByName(_matched(still.select(*pair), words, "lines-more", signed=True))
-    drop(rest, words)
+    tried = best.withColumn("tried", F.lit(True))
+    still = rest.select(*pair).join(light(more), ["doc_id", "line_no"], "left_anti").join(tried, list(pair), "left").where("tried is null").drop("tried")
+    still = written(still, "lines-still")
+    more = more.unionByName(_matched(still, words, "lines-more"))
+    drop(rest, words, best, still)
     return equal.unionByName(gone).unionByName(more)
 
 
