@@ -85,8 +85,6 @@ def train(rows: list[tuple[bytes, int]], seen: int = 24_000, seed: int = 3, rate
             grad = {k: np.zeros_like(v) for k, v in m.items()}
             for i in batch:
                 b = chunks(rows[i][0])
-                if len(b) > 8:  # a learning step looks at 8 of a text's chunks
-                    b = b[np.sort(rng.choice(len(b), 8, replace=False))]
                 x = np.ascontiguousarray(_columns(b, m["embed"]))
                 z = x @ m["filters"]
                 at = z.argmax(1)
@@ -111,11 +109,15 @@ def train(rows: list[tuple[bytes, int]], seen: int = 24_000, seed: int = 3, rate
                 which = b[chunk[:, :, None], (at * STRIDE)[:, :, None] + np.arange(WIDTH)].reshape(-1, WIDTH)
                 np.add.at(grad["embed"], which.ravel(), de.reshape(-1, EMBED))
             step += 1
+            # a slow start and bounded steps: else filters may die at once, and the model stays a constant
+            now = rate * (0.03 ** (epoch / epochs)) * min(1.0, step / 100)
+            large = max(1.0, float(np.sqrt(sum(float((g * g).sum()) for g in grad.values()))))
             for k, g in grad.items():
+                g = g / large
                 a1, a2 = moments[k]
                 a1 += 0.1 * (g - a1)
                 a2 += 0.001 * (g * g - a2)
-                m[k] -= rate * (0.03 ** (epoch / epochs)) * (a1 / (1 - 0.9**step)) / (np.sqrt(a2 / (1 - 0.999**step)) + 1e-8)
+                m[k] -= now * (a1 / (1 - 0.9**step)) / (np.sqrt(a2 / (1 - 0.999**step)) + 1e-8)
     return m
 
 
@@ -182,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
 
     Rows whose crc32(doc_id) leaves ``out`` on division by ``fold`` are never learned from.
     """
-    return train(labelled.sample(docs, labels, label, fold, out, rows, most_bytes))
+    few, odds = labelled.sample(docs, labels, label, fold, out, rows, most_bytes)
+    model = labelled.learned(few, train)
+    return model if "constant" in model else model | {"out_bias": model["out_bias"] + np.float32(odds)}
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -18,13 +18,19 @@ from pyspark.sql import functions as F
 from chronoweave.llm import labelled
 
 BITS, ORDERS = 20, (4, 5, 6)
+#: Bytes whose n-grams are held at once when a text is scored.
+PIECE = 4_000_000
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 
 
 def grams(text: bytes) -> np.ndarray:
     """Hash cells of all n-grams of ORDERS, repeats included; the text is framed by spaces."""
-    b = _LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]
+    return _cells(b" " + text + b" ")
+
+
+def _cells(framed: bytes) -> np.ndarray:
+    b = _LOWER[np.frombuffer(framed, np.uint8)]
     out = []
     h = np.zeros(len(b), np.uint64)
     for n in range(1, max(ORDERS) + 1):
@@ -83,8 +89,9 @@ def score(model: dict, dense: np.ndarray, text: bytes) -> float:
     """Probability of label 1 for a whole text, an empty one included."""
     total = model["bias"]
     hit = []
-    for a in range(0, max(len(text), 1), 4_000_000):  # bounded memory for very long texts
-        h = grams(text[a : a + 4_000_000 + max(ORDERS) - 1])
+    framed = b" " + text + b" "
+    for a in range(0, len(framed), PIECE):  # bounded memory for very long texts; no n-gram is lost or made at a seam
+        h = _cells(framed[a : a + PIECE + max(ORDERS) - 1])
         hit.append(np.unique(h[dense[h] != 0]))
     cells = hit[0] if len(hit) == 1 else np.unique(np.concatenate(hit))
     return float(1 / (1 + np.exp(-np.clip(float(dense[cells].sum(dtype=np.float64)) + total, -500, 500))))
@@ -116,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4,
 
     Rows whose crc32(doc_id) leaves ``out`` on division by ``fold`` are never learned from.
     """
-    return train(labelled.sample(docs, labels, label, fold, out, rows, most_bytes))
+    few, odds = labelled.sample(docs, labels, label, fold, out, rows, most_bytes)
+    model = labelled.learned(few, train)
+    return model if "constant" in model else model | {"bias": model["bias"] + odds}
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
