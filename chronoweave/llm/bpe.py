@@ -1,28 +1,36 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts are cut into pre-tokens; a block of texts keeps, per text, the positions of its words as
-indexes into the block's own list of distinct words.  Those lists, not every occurrence, go
-through one shuffle by word: each distinct word of the corpus is encoded once, in one task.  The
-ids go back to the blocks, where texts are reassembled by position.  Decoding looks ids up in the
-token-byte table, whose size is the vocabulary's.
+indexes into the block's own list of distinct words.  Blocks are written once.  Their lists, not every
+occurrence, go through one shuffle by word: each distinct word of the corpus is encoded once, in one
+task (a word of very many blocks by several).  The ids go back to the blocks, where texts are
+reassembled by position.  Decoding looks ids up in the token-byte table, whose size is the
+vocabulary's.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm.storage import drop, written
+
 #: A block ends when its texts have so many characters: bounds a worker's memory.
 BLOCK_CHARS = 40_000_000
+#: Longer texts are read match by match, never as a list of all their words.
+LONG_CHARS = 4_000_000
+#: Words of a block that are packed, and read again, together.
+WORDS = 20_000
 _CACHE: dict = {}
 
 
@@ -55,45 +63,52 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarra
     return flat[at]
 
 
-def _blocks(pattern: str, want: str):
-    """mapInPandas function: the distinct words, or the word positions, of each block.
+def _blocks(pattern: str):
+    """mapInPandas function: the distinct words, and the word positions, of each block.
 
-    A block's id is a hash of its texts' ids and words, so that the two runs of this function agree
-    on it, and could never pair positions with the words of another block.
+    A block's id is drawn when it is read.  Only what a task wrote is ever read again, so a task that
+    runs twice, on rows in another order even, leaves one set of whole blocks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = regex.compile(pattern)
         packer = zstandard.ZstdCompressor(level=3)
         index: dict[str, int] = {}
-        keys: list = []
+        keys: list[str | None] = []
         sizes: list[int] = []
         places: list[np.ndarray] = []
         seen = 0
 
         def flush():
             nonlocal index, keys, sizes, places, seen
+            block = uuid.uuid4().hex
             words = list(index)
-            mark = xxhash.xxh3_64_intdigest("\0".join(words).encode() + repr(keys).encode()) - (1 << 63)
-            if want == "words":
-                for a in range(0, len(words), 20_000):
-                    part = words[a : a + 20_000]
-                    yield pd.DataFrame({"block": mark, "at": np.arange(a, a + len(part), dtype=np.int32), "word": part})
-            else:
-                seq = np.concatenate(places) if places else np.zeros(0, np.int32)
-                # low and high bytes apart compress better than whole integers
-                raw = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-                yield pd.DataFrame({"block": [mark], "n_words": [len(words)], "keys": [keys], "sizes": [sizes], "places": [packer.compress(raw.tobytes())]})
+            for a in range(0, len(words), WORDS):
+                part = [w.encode() for w in words[a : a + WORDS]]
+                raw = np.array([len(w) for w in part], "<u4").tobytes() + b"".join(part)
+                yield pd.DataFrame({"kind": ["words"], "block": [block], "n": [len(part)], "at": [a], "keys": [None], "sizes": [None], "packed": [packer.compress(raw)]})
+            seq = np.concatenate(places) if places else np.zeros(0, np.int32)
+            # low and high bytes apart compress better than whole integers
+            raw = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+            yield pd.DataFrame({"kind": ["places"], "block": [block], "n": [len(words)], "at": [0], "keys": [keys], "sizes": [sizes], "packed": [packer.compress(raw.tobytes())]})
             index, keys, sizes, places, seen = {}, [], [], [], 0
 
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 text = text or ""
                 number = index.setdefault
-                found = [number(w, len(index)) for w in cut.findall(text)]
-                keys.append(int(key))
-                sizes.append(len(found))
-                places.append(np.array(found, np.int32))
+                count = 0
+                if len(text) <= LONG_CHARS:
+                    found = [number(w, len(index)) for w in cut.findall(text)]
+                    count = len(found)
+                    places.append(np.array(found, np.int32))
+                else:
+                    matches = cut.finditer(text)
+                    while found := [number(m[0], len(index)) for m in itertools.islice(matches, 1_000_000)]:
+                        count += len(found)
+                        places.append(np.array(found, np.int32))
+                keys.append(None if key is None or key != key else str(key))
+                sizes.append(count)
                 seen += len(text)
                 if seen >= BLOCK_CHARS:
                     yield from flush()
@@ -103,6 +118,16 @@ def _blocks(pattern: str, want: str):
     return run
 
 
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """mapInPandas function: a row for each distinct word of a block."""
+    for pdf in batches:
+        for block, n, at, packed in zip(pdf["block"], pdf["n"], pdf["at"], pdf["packed"], strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(packed)
+            ends = 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64))
+            starts = [4 * n, *ends[:-1].tolist()]
+            yield pd.DataFrame({"block": block, "at": np.arange(at, at + n, dtype=np.int32), "word": [raw[a:b].decode() for a, b in zip(starts, ends.tolist(), strict=True)]})
+
+
 def _encode_words(path: str, pattern: str):
     """mapInPandas function: ids of the words, packed into one row for a block and some rows read.
 
@@ -121,8 +146,9 @@ def _encode_words(path: str, pattern: str):
             at = np.concatenate([x[1] for x in held])
             found = [i for x in held for i in x[2]]
             held.clear()
-            order = np.lexsort((at, block))
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            _, block_no = np.unique(block, return_inverse=True)
+            order = np.lexsort((at, block_no))
+            cuts = np.flatnonzero(np.diff(block_no[order])) + 1
             rows = []
             for part in np.split(order, cuts):
                 own = [found[i] for i in part]
@@ -161,16 +187,13 @@ def _assemble(path: str, pattern: str):
     def run(key, places: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         _, byte_flat, byte_start, byte_len = _tables(path, pattern)
         rows = []
-        if len(places) == 0:
-            raise RuntimeError("words of a block came without its texts: the input's rows changed between two reads")
         at, starts, lens, flat = _unpacked(words)
-        # repeated partitions make blocks with the same words, which then come twice
-        _, first = np.unique(at, return_index=True)
-        starts, lens = starts[first], lens[first]
+        order = np.argsort(at, kind="stable")
+        starts, lens = starts[order], lens[order]
         for p in places.itertuples():
-            if p.n_words != len(starts):
-                raise RuntimeError("a block's words are incomplete: the input's rows changed between two reads")
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(p.places), np.uint8)
+            if p.n != len(starts):
+                raise RuntimeError(f"a block of {p.n} words came back with {len(starts)}")
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(p.packed), np.uint8)
             seq = raw.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) if len(raw) else np.zeros(0, np.int64)
             done = 0
             for k, n in zip(p.keys, p.sizes, strict=True):
@@ -195,30 +218,41 @@ def _assemble(path: str, pattern: str):
     return digest, full
 
 
-def _encoded(docs: DataFrame, key: str, text: str, path: str, pattern: str, whole: bool) -> DataFrame:
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), F.col(text).alias("text"))
-    words = src.mapInPandas(_blocks(pattern, "words"), "block long, at int, word string")
-    places = src.mapInPandas(_blocks(pattern, "places"), "block long, n_words int, keys array<long>, sizes array<int>, places binary")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInPandas(_encode_words(path, pattern), "block long, n int, packed binary")
+def _encoded(docs: DataFrame, key: str, text: str, path: str, pattern: str, whole: bool, nulls: int | None) -> DataFrame:
+    # keys go as text: beside nulls pandas would make them floats
+    src = docs.select(F.col(key).cast("long").cast("string").alias("key"), F.col(text).cast("string").alias("text"))
+    blocks = src.mapInPandas(_blocks(pattern), "kind string, block string, n int, at int, keys array<string>, sizes array<int>, packed binary")
+    blocks = written(blocks, "bpe-blocks", "none", by="kind")
+    n_blocks = blocks.where("kind = 'places'").count()
+    words = blocks.where("kind = 'words'").select("block", "n", "at", "packed").mapInPandas(_words, "block string, at int, word string")
+    # a block holds a word once: a frequent word has a row for each block, and some hundred blocks' share a task
+    spread = F.floor(F.pmod(F.xxhash64("block"), F.lit(1 << 20)) * F.lit(max(1, n_blocks // 256)) / F.lit(1 << 20))
+    ids = words.repartition("word", spread).sortWithinPartitions("word")
+    ids = written(ids.mapInPandas(_encode_words(path, pattern), "block string, n int, packed binary"), "bpe-ids", "none")
+    drop(blocks, part="kind=words")
     digest, full = _assemble(path, pattern)
+    places = blocks.where("kind = 'places'").select("block", "n", "keys", "sizes", "packed")
     pair = places.groupBy("block").cogroup(ids.groupBy("block"))
     if whole:
-        return pair.applyInPandas(full, "key long, ids array<int>, decoded string")
-    return pair.applyInPandas(digest, "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        out = pair.applyInPandas(full, "key string, ids array<int>, decoded string")
+    else:
+        out = pair.applyInPandas(digest, "key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    own = F.col("key").cast("long")
+    return out.withColumn("key", own if nulls is None else F.coalesce(own, F.lit(nulls).cast("long"))).withColumnRenamed("key", "doc_id")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", nulls: int | None = -1) -> DataFrame:
     """One row per text: ``doc_id, ids array<int>, decoded``.
 
-    Null texts count as empty: no ids, empty decoded text.  A null key comes back as -1.  Repeated
-    rows come back as often as they are there.  Other columns are not looked at.
+    Null texts count as empty: no ids, empty decoded text.  A null key comes back as ``nulls`` (None: as
+    null).  Repeated rows come back as often as they are there.  Other columns are not looked at.
     """
-    return _encoded(docs, key, text, path, pattern, True).select(F.col("key").alias("doc_id"), "ids", "decoded")
+    return _encoded(docs, key, text, path, pattern, True, nulls)
 
 
-def encode_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", nulls: int | None = -1) -> DataFrame:
     """As :func:`encode`, with ``n_tokens`` and the SHA-256 of ids and decoded bytes in their place."""
-    return _encoded(docs, key, text, path, pattern, False).withColumnRenamed("key", "doc_id")
+    return _encoded(docs, key, text, path, pattern, False, nulls)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

@@ -40,18 +40,20 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", sorted_buckets: bool = False, conf: dict[str, str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "zstd", sorted_buckets: bool = False, conf: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
     Cuts the lineage: a lost executor costs no recomputation of what is written.
     The table goes when the driver ends, or by :func:`drop`.  ``sorted_buckets``: what ``df`` reads of
     :func:`bucketed` tables is taken as sorted.  ``conf``: settings of the session while it is written.
+    ``by``: a column with a folder for each of its values.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     more = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"} if sorted_buckets else {}
     with _shuffles_freed(spark, more | (conf or {})):
-        df.write.option("compression", codec).parquet(path)
+        out = df.write.option("compression", codec)
+        (out.partitionBy(by) if by else out).parquet(path)
     _LEFT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._chronoweave_path = path
@@ -95,9 +97,12 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Remove tables of :func:`written` that no later plan reads."""
+def drop(*tables: DataFrame, part: str = "") -> None:
+    """Remove tables of :func:`written` that no later plan reads, or one folder of them."""
     for t in tables:
+        if part:
+            delete(t.sparkSession, f"{t._chronoweave_path}/{part}")
+            continue
         if hasattr(t, "_chronoweave_table"):
             t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._chronoweave_table}")
         delete(t.sparkSession, t._chronoweave_path)
