@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.storage import bucketed, drop, light, written
+from chronoweave.llm.storage import bucketed, drop, held, light, own, written
 
 #: Lines with fewer words stay: 1 leaves out none but blank ones.
 MIN_WORDS = 1
@@ -239,16 +239,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     sets match.  Own columns may have any name.  An empty table gives an empty one.
     """
     docs = docs.drop("n_lines", "n_removed")
-    # own columns travel under one name, so that none can clash with those of the join
-    held = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]).alias("_own"))
-    out = _without(held, later_matches(docs))
+    out = _without(held(docs, "doc_id", "text"), later_matches(docs))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text")
-    own = [F.col("doc_id") if c == "doc_id" else text if c == "text" else F.col("_own")[c].alias(c) for c in docs.columns]
+    columns = [text if c == "text" else x for c, x in zip(docs.columns, own(docs.columns, "doc_id", "text"), strict=True)]
     removed = F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).cast("long")
-    return out.select(*own, n.alias("n_lines"), removed.alias("n_removed"))
+    return out.select(*columns, n.alias("n_lines"), removed.alias("n_removed"))
 
 
 def keep_new_lines(docs: DataFrame) -> DataFrame:

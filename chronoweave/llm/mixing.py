@@ -16,14 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.storage import written
+from chronoweave.llm.storage import held, light, own, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2  # of all words; of a source's words
 BUCKETS, SEED = 1 << 16, "mix-1"
-#: The per-source table is broadcast up to so many sources, joined by shuffle beyond.
-FEW_SOURCES = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -102,22 +100,30 @@ def mixed(docs: DataFrame, weight: str | None = None) -> DataFrame:
     and cost nothing.  Rows of equal doc_id, text and source fare alike.  Ties of keys go by doc_id.
     An empty table gives an empty one.
     """
-    added = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*added)
-    slim = docs.select("doc_id", "text", "source", *([weight] if weight else []))
-    rows = written(_keyed(slim, weight).select("_id", "_source", "_size", "_key", "_bucket"), "mix-rows")
-    plan = written(_decided(rows), "mix-plan").withColumnRenamed("_source", "_s")
-    if plan.count() <= FEW_SOURCES:
-        plan = F.broadcast(plan)
+    docs = docs.drop(*ADDED)
+    used = ["doc_id", "text", "source", *([weight] if weight else [])]
+    return _mixed(docs, weight).select(*own(docs.columns, *used), *ADDED)
+
+
+ADDED = ("size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(docs: DataFrame, weight: str | None) -> DataFrame:
+    """``docs``, its other columns put away in ``_own``, with the columns ADDED."""
+    used = ["doc_id", "text", "source", *([weight] if weight else [])]
+    rows = written(_keyed(docs.select(*used), weight).select("_id", "_source", "_size", "_key", "_bucket"), "mix-rows")
+    plan = light(written(_decided(rows), "mix-plan")).withColumnRenamed("_source", "_s")
     sampled = (F.col("_bucket") < F.col("_last")) | ((F.col("_bucket") == F.col("_last")) & (F.struct("_key", "_id") <= F.col("_cut")))
-    out = _keyed(docs, weight).join(plan, F.col("_source").eqNullSafe(F.col("_s")))
+    out = _keyed(held(docs, *used), weight).join(plan, F.col("_source").eqNullSafe(F.col("_s")))
     out = out.withColumn("copies", F.col("epochs") + F.coalesce(sampled, F.lit(False)).cast("int"))
-    return out.select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
+    return out.select(*used, "_own", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("_size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weight: str | None = None) -> DataFrame:
-    """The mixture itself: the rows of ``docs``, each as often as it is taken, with its own columns."""
-    return mixed(docs, weight).withColumn("_i", F.explode(F.expr("array_repeat(0, copies)"))).select(*docs.columns)
+    """The mixture itself: the rows of ``docs``, each as often as it is taken, with its own columns of any name."""
+    used = ["doc_id", "text", "source", *([weight] if weight else [])]
+    out = _mixed(docs, weight).select(*used, "_own", F.explode(F.expr("array_repeat(0, copies)")).alias("_i"))
+    return out.select(*own(docs.columns, *used))
 
 
 SQL = rf"""

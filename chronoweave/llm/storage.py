@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -109,6 +109,17 @@ def drop(*tables: DataFrame, part: str = "") -> None:
         _LEFT[:] = [x for x in _LEFT if x[1] != t._chronoweave_path]
 
 
+def held(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used``, and all others under one name, ``_own``: none can clash with those of an operator."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*dict.fromkeys(used), F.struct(*([docs[c] for c in rest] or [F.lit(0).alias("none")])).alias("_own"))
+
+
+def own(columns: list[str], *used: str) -> list[Column]:
+    """What :func:`held` put away, by its own names and in its own order."""
+    return [F.col(c) if c in used else F.col("_own")[c].alias(c) for c in columns]
+
+
 def light(table: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     """A written table, marked for broadcast if its rows take at most ``most_bytes`` in memory.
 
