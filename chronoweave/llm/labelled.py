@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import pickle
 from collections.abc import Callable, Iterator
@@ -48,7 +51,12 @@ def learned(rows: DataFrame, train: Callable[[list[tuple[bytes, int]]], dict]) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted((int(h), bytes(t), int(y)) for pdf in batches for h, t, y in zip(pdf["_h"], pdf["_t"], pdf["_y"], strict=True))
-        yield pd.DataFrame({"model": [pickle.dumps(train([(t, y) for _, t, y in got]))]})
+        model = pickle.dumps(train([(t, y) for _, t, y in got]))
+        got.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # what training took goes back to the machine: the worker lives on
+            ctypes.CDLL(None).malloc_trim(0)
+        yield pd.DataFrame({"model": [model]})
 
     model = rows.repartition(1).mapInPandas(run, "model binary").collect()
     return pickle.loads(bytes(model[0]["model"])) if model else train([])

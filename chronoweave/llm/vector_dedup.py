@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 from chronoweave.llm.components import components
 from chronoweave.llm.hnsw import Graph
 from chronoweave.llm.storage import drop, written
-from chronoweave.llm.vectors import matrix, packed, unit
+from chronoweave.llm.vectors import cosines, even, matrix, packed, unit
 
 LEAST = 0.95
 #: At least so many shards, and at most so many classes in one: its graph must fit a worker.
 SHARDS, SHARD_ROWS = 6, 100_000
 #: Queries of a shard are dealt over tasks in parts of about this many.
-PART = 1_000_000
+PART = 20_000
 BEAM, WIDEST, AUDITED = 48, 768, 48
+#: Exact scans take so many queries at a time: no more than SLICE * SHARD_ROWS products are held.
+SLICE = 64
 
 
 def _built(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -45,14 +47,25 @@ class _Shard:
         self.ids, self.sizes = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64)
         self.x = np.frombuffer(row.xs, np.float64).reshape(len(self.ids), -1)
         self.graph = Graph(unit(self.x), [np.frombuffer(a, np.int32).reshape(-1, 32) for a in row.layers])
-        self.norm = np.linalg.norm(self.x, axis=1)
 
-    def _scan(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.nonzero(q[a : a + 512] @ self.graph.vectors.T >= LEAST - 1e-5) for a in range(0, len(q), 512)]
-        return np.concatenate([r + 512 * i for i, (r, _) in enumerate(parts)] or [np.zeros(0, np.int64)]), np.concatenate([c for _, c in parts] or [np.zeros(0, np.int64)])
+    def _counts(self, q: np.ndarray) -> np.ndarray:
+        """How many nodes each query links with, by single precision."""
+        return np.concatenate([(q[a : a + SLICE] @ self.graph.vectors.T >= LEAST - 1e-5).sum(1) for a in range(0, len(q), SLICE)] or [np.zeros(0, np.int64)])
 
-    def links(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query number, node) with a cosine of LEAST or more, the query's own node left out."""
+    def _sure(self, ids: np.ndarray, x: np.ndarray, rows: np.ndarray, nodes: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Which pairs have a cosine of LEAST or more; ``near`` are those that single precision cannot tell."""
+        ok = np.ones(len(rows), bool)
+        doubt = np.flatnonzero(near)
+        for a in range(0, len(doubt), 100_000):
+            at = doubt[a : a + 100_000]
+            ok[at] = cosines(x[rows[at]], self.x[nodes[at]]) >= LEAST
+        return ok & (ids[rows] != self.ids[nodes])
+
+    def links(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's number of linked vectors, and the edges of a spanning forest of the links.
+
+        A query's own node is left out.  Links of one slice of queries are held at a time.
+        """
         q = unit(x)
         beam = BEAM
         while True:
@@ -62,24 +75,34 @@ class _Shard:
             some = np.flatnonzero(~full)
             some = some[np.argsort(ids[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
             some = np.concatenate([some[count[some] > 0][: AUDITED // 2], some[count[some] == 0][: AUDITED // 2]])
-            missed = (np.bincount(self._scan(q[some])[0], minlength=len(some)) > count[some]).any() if len(some) else False
+            missed = (self._counts(q[some]) > count[some]).any() if len(some) else False
             if not missed:
                 break
             if beam >= WIDEST:
                 full[:] = True
                 break
             beam *= 2
-        exact = np.flatnonzero(full)
-        r, n = self._scan(q[exact])
         keep = ~full[rows]
-        rows, nodes = np.concatenate([rows[keep], exact[r]]), np.concatenate([nodes[keep], n])
-        ok = np.empty(len(rows), bool)
-        norm = np.linalg.norm(x, axis=1)
-        for a in range(0, len(rows), 100_000):
-            i, j = rows[a : a + 100_000], nodes[a : a + 100_000]
-            ok[a : a + 100_000] = np.einsum("kd,kd->k", x[i], self.x[j]) / (norm[i] * self.norm[j]) >= LEAST
-        ok &= ids[rows] != self.ids[nodes]
-        return rows[ok], nodes[ok]
+        rows, nodes = rows[keep], nodes[keep]
+        ok = self._sure(ids, x, rows, nodes, np.ones(len(rows), bool))
+        rows, nodes = rows[ok], nodes[ok]
+        total = np.bincount(rows, weights=self.sizes[nodes].astype(np.float64), minlength=len(ids)).astype(np.int64)
+        a, b = _forest(ids[rows], self.ids[nodes])
+        exact = np.flatnonzero(full)
+        for at in range(0, len(exact), SLICE):
+            own = exact[at : at + SLICE]
+            s = q[own] @ self.graph.vectors.T
+            r, n = np.nonzero(s >= LEAST - 1e-5)
+            ok = self._sure(ids, x, own[r], n, s[r, n] < LEAST + 1e-5)
+            r, n = r[ok], n[ok]
+            total[own] += np.bincount(r, weights=self.sizes[n].astype(np.float64), minlength=len(own)).astype(np.int64)
+            # a node joins the first query that it links with, and each query the first ones of its nodes
+            first = np.full(len(self.ids), len(own))
+            np.minimum.at(first, n, r)
+            linked = np.flatnonzero(first < len(own))
+            pairs = np.unique(r * len(own) + first[n])
+            a, b = _forest(np.concatenate([a, self.ids[linked], ids[own[pairs // len(own)]]]), np.concatenate([b, ids[own[first[linked]]], ids[own[pairs % len(own)]]]))
+        return total, a, b
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +137,7 @@ def _queried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if at != (s, p):
                 raise RuntimeError("a shard's queries came without its graph")
             ids = group["rep"].to_numpy(np.int64)
-            rows, nodes = shard.links(ids, matrix(group["x"]))
-            count = np.bincount(rows, weights=shard.sizes[nodes].astype(np.float64), minlength=len(ids)).astype(np.int64)
-            a, b = _forest(ids[rows], shard.ids[nodes])
+            count, a, b = shard.links(ids, matrix(group["x"]))
             some = count > 0
             yield pd.DataFrame({"rep": np.concatenate([ids[some], a]), "n": np.concatenate([count[some], np.zeros(len(a), np.int64)]), "to": np.concatenate([ids[some], b])})
 
@@ -126,10 +147,10 @@ def near_vectors(table: DataFrame) -> DataFrame:
 
     Linked are vectors with a cosine of LEAST or more.  Vectors that are null, empty or zero, or hold
     null or non-finite components, link with nothing: 0 links, their own component, kept.  n_links
-    counts rows, repeated ones too.  All vectors must have one length.  Other columns are not looked
-    at; an empty table gives an empty one.
+    counts rows, repeated ones too.  Vectors of another length than most have link with nothing as well.
+    Other columns are not looked at; an empty table gives an empty one.
     """
-    v = written(packed(table), "vectors")
+    v = even(written(packed(table), "vectors"))
     good = v.where("mark is not null and vec_id is not null")
     classes = written(good.groupBy("mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("x").alias("x")), "vector-classes")
     n = classes.count()
@@ -140,8 +161,8 @@ def near_vectors(table: DataFrame) -> DataFrame:
     asked = classes.select("rep", "x", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(parts)).cast("int").alias("part"))
     # with few classes some shards have none
     asked = asked.join(F.broadcast(graphs.select("shard")), "shard").withColumn("kind", F.lit(1))
-    # a partition for each shard and part, as near as hashing allows
-    both = first.unionByName(asked, allowMissingColumns=True).repartition(4 * shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    # a range of (shard, part) for each task: hashes would give some tasks several and others none
+    both = first.unionByName(asked, allowMissingColumns=True).repartitionByRange(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
     found = written(both.mapInPandas(_queried, "rep long, n long, to long"), "vector-links")
     near = components(found.where("rep <> to"), "rep", "to").withColumnRenamed("node", "rep")
     total = found.groupBy("rep").agg(F.sum("n").alias("n"))

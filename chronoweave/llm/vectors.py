@@ -31,6 +31,22 @@ def packed(table: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return out.withColumn("vec_id", F.col("vec_id").cast("long"))
 
 
+def even(table: DataFrame) -> DataFrame:
+    """A written table of :func:`packed`, mark and x null where the length is not the one that most vectors have.
+
+    Of two lengths that are as frequent the smaller one counts.
+    """
+    most = table.where("x is not null").groupBy(F.octet_length("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    fits = F.octet_length("x") == (most["n"] if most else 0)
+    return table.select("vec_id", F.when(fits, F.col("mark")).alias("mark"), F.when(fits, F.col("x")).alias("x"))
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each pair of rows, in double precision; equal rows give equal numbers wherever they stand."""
+    dot = np.einsum("kd,kd->k", a, b)
+    return dot / (np.sqrt(np.einsum("kd,kd->k", a, a)) * np.sqrt(np.einsum("kd,kd->k", b, b)))
+
+
 def matrix(col) -> np.ndarray:
     """Rows of equal length from bytes."""
     return np.frombuffer(b"".join(col), np.float64).reshape(len(col), -1)
