@@ -3,7 +3,8 @@
 Equal vectors form a class, of which one is compared.  Classes are dealt to shards; each shard's
 graph is built once and written.  Every class queries every shard.  A beam that comes back half full
 of links is replaced by an exact scan of the shard for that query; a sample of the other queries is
-audited against such a scan, and the beam is doubled until the audit finds nothing missing.  Found
+audited against such a scan, and the beam is widened until the audit finds nothing missing, first by
+the shard's own vectors when its graph is built, then in every batch of queries.  Found
 pairs are verified in double precision.  A task gives each query's number of links and the edges of
 a spanning forest of its links, never the links of a group as rows.
 """
@@ -28,22 +29,38 @@ SHARDS, SHARD_ROWS = 6, 100_000
 #: Queries of a shard are dealt over tasks in parts of about this many.
 PART = 20_000
 BEAM, WIDEST, AUDITED = 48, 768, 48
+#: Vectors of a shard that audit its graph when it is built.
+TRIED = 512
 #: Exact scans take so many queries at a time: no more than SLICE * SHARD_ROWS products are held.
 SLICE = 64
 
 
+def _wider(beam: int) -> int:
+    return min(WIDEST, beam * 3 // 2)
+
+
 def _built(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row with a shard's graph; nodes are in the order of a hash, so levels are random."""
     pdf = pdf.sort_values("h")
     x = matrix(pdf["x"])
-    graph = Graph.build(unit(x))
+    u = unit(x)
+    graph = Graph.build(u)
+    tried = u[-TRIED:]
+    there = np.concatenate([(tried[a : a + SLICE] @ u.T >= LEAST - 1e-5).sum(1) for a in range(0, len(tried), SLICE)])
+    beam = BEAM
+    while beam < WIDEST:
+        count = np.bincount(graph.within(tried, beam, LEAST - 1e-5)[0], minlength=len(tried))
+        if not ((count < there) & (count < beam // 2)).any():
+            break
+        beam = _wider(beam)
     return pd.DataFrame(
-        {"shard": [pdf["shard"].iloc[0]], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "sizes": [pdf["size"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()], "layers": [[a.tobytes() for a in graph.layers]]}
+        {"shard": [pdf["shard"].iloc[0]], "beam": [beam], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "sizes": [pdf["size"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()], "layers": [[a.tobytes() for a in graph.layers]]}
     )
 
 
 class _Shard:
     def __init__(self, row):
+        self.beam = int(row.beam)
         self.ids, self.sizes = np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64)
         self.x = np.frombuffer(row.xs, np.float64).reshape(len(self.ids), -1)
         self.graph = Graph(unit(self.x), [np.frombuffer(a, np.int32).reshape(-1, 32) for a in row.layers])
@@ -67,21 +84,20 @@ class _Shard:
         A query's own node is left out.  Links of one slice of queries are held at a time.
         """
         q = unit(x)
-        beam = BEAM
         while True:
-            rows, nodes = self.graph.within(q, beam, LEAST - 1e-5)
+            rows, nodes = self.graph.within(q, self.beam, LEAST - 1e-5)
             count = np.bincount(rows, minlength=len(q))
-            full = count >= beam // 2
+            full = count >= self.beam // 2
             some = np.flatnonzero(~full)
             some = some[np.argsort(ids[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")]
             some = np.concatenate([some[count[some] > 0][: AUDITED // 2], some[count[some] == 0][: AUDITED // 2]])
             missed = (self._counts(q[some]) > count[some]).any() if len(some) else False
             if not missed:
                 break
-            if beam >= WIDEST:
+            if self.beam >= WIDEST:
                 full[:] = True
                 break
-            beam *= 2
+            self.beam = _wider(self.beam)
         keep = ~full[rows]
         rows, nodes = rows[keep], nodes[keep]
         ok = self._sure(ids, x, rows, nodes, np.ones(len(rows), bool))
@@ -156,7 +172,7 @@ def near_vectors(table: DataFrame) -> DataFrame:
     n = classes.count()
     shards, parts = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // PART))
     dealt = classes.select("rep", "size", "x", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"), F.xxhash64("rep", F.lit(3)).alias("h"))
-    graphs = written(dealt.groupBy("shard").applyInPandas(_built, "shard int, ids binary, sizes binary, xs binary, layers array<binary>"), "vector-graphs")
+    graphs = written(dealt.groupBy("shard").applyInPandas(_built, "shard int, beam int, ids binary, sizes binary, xs binary, layers array<binary>"), "vector-graphs")
     first = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
     asked = classes.select("rep", "x", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(parts)).cast("int").alias("part"))
     # with few classes some shards have none
