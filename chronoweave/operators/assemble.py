@@ -36,10 +36,12 @@ def entry(rows: DataFrame):
     return F.struct(*fields)
 
 
-def response(rows: DataFrame, media: DataFrame, confidence: DataFrame, langs: DataFrame, text: DataFrame, speakers: DataFrame | None = None, alignment: DataFrame | None = None) -> DataFrame:
+def response(rows: DataFrame, media: DataFrame, confidence: DataFrame, langs: DataFrame, text: DataFrame, speakers: DataFrame | None = None, alignment: DataFrame | None = None, debug: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
     """``media_id, body``: one JSON document per media, media without rows included.
 
-    ``alignment``: media_id, applied, failed, alignment_failed_segments, where alignment was asked for.
+    ``alignment``: media_id, applied, failed, alignment_failed_segments, where alignment was asked for; media
+    that it lacks were not aligned.  ``debug``: media_id, rank, class, label, score, at_ms, the loudest
+    classes.  ``failed``: media_id, stage, error, what went wrong on the way; absent where nothing did.
     """
     own = rows.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", entry(rows).alias("e")))), lambda x: x["e"]).alias("segments"))
     out = media.select("media_id", "duration_ms").join(own, "media_id", "left").join(confidence, "media_id", "left").join(langs, "media_id", "left").join(text, "media_id", "left")
@@ -59,6 +61,15 @@ def response(rows: DataFrame, media: DataFrame, confidence: DataFrame, langs: Da
         out = out.join(who, "media_id", "left")
         fields.append(F.col("speakers"))
     if alignment is not None:
-        out = out.join(alignment.withColumn("alignment_requested", F.lit(True)), "media_id", "left")
-        fields += ["alignment_requested", F.col("applied").alias("alignment_applied"), F.col("failed").alias("alignment_failed"), "alignment_failed_segments"]
+        out = out.join(alignment, "media_id", "left")
+        no = F.lit(False)
+        fields += [F.lit(True).alias("alignment_requested"), F.coalesce("applied", no).alias("alignment_applied"), F.coalesce("failed", no).alias("alignment_failed")]
+        fields.append(F.coalesce("alignment_failed_segments", F.lit(0)).alias("alignment_failed_segments"))
+    if debug is not None:
+        peak = F.struct("rank", F.struct("label", F.col("class").alias("index"), F.round(F.col("score").cast("double"), 3).alias("score"), seconds(F.col("at_ms")).alias("at")).alias("p"))
+        out = out.join(debug.groupBy("media_id").agg(F.transform(F.array_sort(F.collect_list(peak)), lambda x: x["p"]).alias("aed_debug")), "media_id", "left")
+        fields.append("aed_debug")
+    if failed is not None:
+        out = out.join(failed.groupBy("media_id").agg(F.array_sort(F.collect_set(F.struct("stage", "error"))).alias("failures")), "media_id", "left")
+        fields.append("failures")
     return out.select("media_id", F.to_json(F.struct(*fields)).alias("body"))

@@ -13,6 +13,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _MODELS: dict[str, Any] = {}
 
@@ -62,6 +63,23 @@ class Stage:
         return rows.mapInPandas(run, out_schema)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder: what follows never runs a model again.
+
+    The folder is ``spark.checkpoint.dir``; where it is unset, as in tests, one beside the warehouse.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        told = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(told or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "-checkpoints")
+    return df.checkpoint()
+
+
+def failures(stage: str, out: DataFrame) -> DataFrame:
+    """``media_id, stage, error``: what a stage's rows say went wrong, once each."""
+    return out.where("error is not null").select(F.col("media_id"), F.lit(stage).alias("stage"), "error").distinct()
+
+
 def _split(schema: str) -> list[str]:
     """A DDL schema's columns: commas inside <> do not part them."""
     out, depth, at = [], 0, 0

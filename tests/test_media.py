@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave.plans.options import Options
 from chronoweave.plans.pipeline import Models, health, transcripts
 from chronoweave.plans.stages import Stage, energy_detector
 from chronoweave.sources import config, media
@@ -112,6 +113,44 @@ def test_speakers_over_three_windows(spark, tmp_path):
     assert [(s["id"], s["speech_seconds"], [round(v) for v in s["embedding"]]) for s in body["speakers"]] == [("spk_0", 5.0, [1, 0]), ("spk_1", 5.0, [0, 1])]
 
 
+def test_request_options_and_failures(spark, tmp_path):
+    """Options choose branches; seams of sound windows tell one event once; failures stand in the body."""
+    t = np.arange(9 * 32_000) / 32_000
+    (tmp_path / "e.wav").write_bytes(media.wav_bytes((0.5 * np.sin(2 * np.pi * 440 * t)).astype(np.float32), 32_000))
+
+    def tag(_, row):
+        if row.window == 9:
+            raise ValueError("bad window")
+        return [(f, c, p) for f in range(len(row.pcm) // 3200) for c, p in ((0, 0.6 + 0.01 * row.window), (1, 0.1))]
+
+    def fail(_, row):
+        raise ValueError("no speaker model")
+
+    word = "array<struct<word:string,start:double,end:double,probability:double>>"
+    seg = f"array<struct<text:string,start:double,end:double,avg_logprob:double,no_speech_prob:double,compression_ratio:double,words:{word}>>"
+    models = Models(
+        detector=energy_detector(),
+        recogniser=Stage("asr5", lambda: None, lambda _, r: [("xx", 0.1, [("HI ALL", 0.0, 1.0, -0.1, 0.0, 1.0, [])])], f"language string, language_probability double, segments {seg}", (("media_id", "string"), ("chunk", "int"), ("offset_ms", "long"))),
+        tagger=Stage("tag5", lambda: None, tag, "frame long, class int, prob float", (("media_id", "string"), ("window", "int"))),
+        diarizer=Stage("diar5", lambda: None, fail, "ord int, start_ms long, end_ms long, speaker_id string", (("media_id", "string"), ("window", "int"))),
+        frame_ms=100,
+        labels=spark.createDataFrame([(0, "Dog"), (1, "Rain")], "class int, label string"),
+    )
+    c = config.load({"SOUND_EVENTS_WINDOW_S": "4", "SOUND_EVENTS_OVERLAP_S": "1", "SPEAKERS_ENABLED": "no", "SOUND_EVENTS_ENABLED": "no"})
+    pcm = media.blocks(media.files(spark, str(tmp_path)), (16_000, 32_000))
+    plain = json.loads(transcripts(spark, pcm, models, c, options=Options()).first().body)
+    assert {s["kind"] for s in plain["segments"]} == {"speech"} and "speakers" not in plain and "aed_debug" not in plain and "failures" not in plain
+    asked = Options.from_dict({"sound_events": True, "diarize": True, "align": True, "language": "en", "debug_top_n": 1})
+    body = json.loads(transcripts(spark, pcm, models, c, options=asked).first().body)
+    assert body["language"] == "en"
+    assert [(s["label"], s["start"], s["end"]) for s in body["segments"] if s["kind"] == "sound"] == [("Dog", 0.0, 9.0)]
+    assert body["aed_debug"] == [{"label": "Dog", "index": 0, "score": 0.62, "at": 6.5}]
+    assert body["failures"] == [{"stage": "diarizer", "error": "ValueError: no speaker model"}]
+    assert (body["alignment_requested"], body["alignment_applied"], body["alignment_failed"], body["alignment_failed_segments"]) == (True, False, False, 0)
+    text = transcripts(spark, pcm, models, c, options=Options(response_format="text")).first().body
+    assert text == body["text"]
+
+
 def test_stage_failures_are_rows(spark):
     def infer(m, row):
         if row.x == 2:
