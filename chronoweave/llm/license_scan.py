@@ -18,6 +18,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm.storage import held, own
+
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # on text that is not lowered yet
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -170,8 +172,41 @@ def compiled(rule: str) -> str:
     return f"(?<= )(?:{''.join(out)})"
 
 
+def needed(rule: str) -> set[str]:
+    """Words of which every match of the rule holds one at least: the fewest that a part of it offers."""
+    tokens = re.findall(r"~\d+|YEAR|[a-z0-9\x80-\U0010ffff]+|[()|?]", rule)
+
+    def alternatives(at: int) -> tuple[set[str] | None, int]:
+        every: set[str] | None = set()
+        while True:
+            part, at = sequence(at)
+            every = None if every is None or part is None else every | part
+            if at >= len(tokens) or tokens[at] == ")":
+                return every, at
+            at += 1  # a bar
+
+    def sequence(at: int) -> tuple[set[str] | None, int]:
+        best = None
+        while at < len(tokens) and tokens[at] not in "|)":
+            if tokens[at] == "(":
+                part, at = alternatives(at + 1)
+            else:
+                part = None if tokens[at][0] == "~" or tokens[at] == "YEAR" else {tokens[at]}
+            at += 1
+            if at < len(tokens) and tokens[at] == "?":
+                part, at = None, at + 1
+            if part and (best is None or (len(part), -min(map(len, part))) < (len(best), -min(map(len, best)))):
+                best = part
+        return best, at
+
+    found = alternatives(0)[0]
+    if not found:
+        raise ValueError(f"{rule!r} matches without any word")
+    return found
+
+
 def rules() -> list[dict]:
-    """All rules in order: p(riority), l(abel), k(eyword), r(egular expression)."""
+    """All rules in order: p(riority), l(abel), k(eyword), ks (the words of :func:`needed`), r(egular expression)."""
     raw = [*TEXTS]
     for label, keyword, name in NAMES:
         raw += [(p, label, k or keyword, form.replace("{N}", f"({name})")) for p, k, form in FORMS]
@@ -180,24 +215,29 @@ def rules() -> list[dict]:
     for name in _SPDX:
         label = re.sub(r"(\d) (\d)", r"\1.\2", name).replace(" ", "-")
         raw.append((1, label, "spdx", f"spdx license identifier {name}"))
-    return [{"p": p, "l": label, "k": keyword, "r": compiled(rule)} for p, label, keyword, rule in raw]
+    return [{"p": p, "l": label, "k": keyword, "ks": sorted(needed(rule)), "r": compiled(rule)} for p, label, keyword, rule in raw]
 
 
 _FOUND = "array<struct<start:int,neg_end:int,p:int,rule:int,l:string>>"
 
 
-def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, text: str = "text", gates: list[str] | None = GATES) -> DataFrame:
     """``docs`` with ``n_words``, ``places`` of base phrases, and ``detections``; own columns of these names go.
 
     places: array of (start word, label).  detections: array of (start, neg_end, p, rule, l), what is
     left after suppression, in order of start; neg_end is minus the last word's number.  Null and
     empty texts have 0 words and empty arrays.  Works row by row: repeated rows fare alike.
+
+    Rules apply to texts that hold one of ``gates``, a rule only where its keyword stands.  With
+    ``gates`` None both are derived from the rules, so that no text that a rule matches is left out.
     """
-    docs = docs.drop("n_words", "places", "detections", "_low", "_tagged", "_found")
+    docs = docs.drop("n_words", "places", "detections")
+    docs, columns = held(docs, text), docs.columns
+    own_rules = [{**r, "i": i} for i, r in enumerate(rules())]
     empty_places = F.from_json(F.lit("[]"), "array<struct<start:int,l:string>>")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     gate = F.lit(False)
-    for g in GATES:
+    for g in gates if gates is not None else sorted({w for r in own_rules for w in r["ks"]} | {phrase.split()[0] for phrase, _ in BASE}):
         gate = gate | F.contains(F.col("_low"), F.lit(g))
     out = docs.withColumn("_low", F.lower(body))
     out = out.withColumn("_hit", gate)
@@ -210,8 +250,9 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     label = lambda m: F.element_at(F.create_map(*[F.lit(x) for phrase, name in BASE for x in (phrase.split()[0], name)]), F.regexp_extract(m, "^([a-z]+)", 1))
     places = F.transform(F.regexp_extract_all("_tagged", F.lit(base), F.lit(0)), lambda m: F.struct(start(m).alias("start"), label(m).alias("l")))
     out = out.withColumn("places", F.coalesce(F.when(F.col("_hit"), places), empty_places))
-    table = F.from_json(F.lit(json.dumps([{**r, "i": i} for i, r in enumerate(rules())])), "array<struct<p:int,l:string,k:string,r:string,i:int>>")
-    tried = F.filter(table, lambda r: F.contains(F.col("_tagged"), F.concat(F.lit(" "), r["k"], F.lit(":"))))
+    table = F.from_json(F.lit(json.dumps(own_rules)), f"array<struct<p:int,l:string,k:string,{'' if gates is not None else 'ks:array<string>,'}r:string,i:int>>")
+    there = lambda w: F.contains(F.col("_tagged"), F.concat(F.lit(" "), w, F.lit(":")))
+    tried = F.filter(table, lambda r: there(r["k"]) if gates is not None else F.exists(r["ks"], there))
     found = F.flatten(
         F.transform(
             tried,
@@ -224,7 +265,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("_found", F.when(F.col("_hit"), F.array_sort(found)))
     out = out.withColumn("detections", F.coalesce(F.when(F.size("_found") > 0, _unsuppressed(F.col("_found"))), F.from_json(F.lit("[]"), _FOUND)))
     out = out.withColumn("n_words", F.regexp_count(body, F.lit(WORD)).cast("long"))
-    return out.select(*docs.columns, "n_words", "places", "detections")
+    return out.select(*own(columns, text), "n_words", "places", "detections")
 
 
 def _unsuppressed(found: Column) -> Column:
