@@ -26,8 +26,10 @@ from chronoweave.llm.storage import bucketed, drop, held, light, own, written
 MIN_WORDS = 1
 #: Jaccard similarity as a fraction.
 SIMILAR = (3, 4)
-#: The table of ranks has one byte for each of 2^CELL_BITS cells, whatever the input.
+#: The table of ranks has 8 bytes for each of 2^CELL_BITS cells, whatever the input.
 CELL_BITS = 18
+#: Tokens hold a word's rank above so many bits of its hash; ranks are under 256, so tokens are never negative.
+RANK_SHIFT = 55
 #: Words of so many occurrences are listed in pairs.
 FREQUENT = 1 << 13
 #: Lines that equal so many others are joined apart from the rest.
@@ -35,15 +37,20 @@ COMMON = 1000
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " "), "")
+    return F.array_remove(_pieces(line), "")
+
+
+def _pieces(line: Column) -> Column:
+    """Words, and empty strings where white space meets; few lines have tabs or returns to replace."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    plain = F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    return F.split(F.when(odd, plain).otherwise(line), " ")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line`` of lines with MIN_WORDS words or more."""
-    # counting spaces is cheap, and enough for lines without odd white space
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    odd = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | F.contains("line", F.lit("\r")) | F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" "))
-    enough = F.when(odd, F.size(_words(F.col("line"))) >= MIN_WORDS).otherwise((F.col("line") != "") & (spaces >= MIN_WORDS - 1))
+    # a line has a word if anything is left between its outer white space: no need to count words
+    enough = F.btrim("line", F.lit(" \t\r")) != "" if MIN_WORDS == 1 else F.size(_words(F.col("line"))) >= MIN_WORDS
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(enough)
 
 
@@ -71,18 +78,19 @@ def _repeated(docs: DataFrame) -> DataFrame:
 
 
 def _ranks(docs: DataFrame) -> DataFrame:
-    """One row with 4 * log2 of each hash cell's count of words, as an array of bytes."""
+    """One row with 4 * log2 of each hash cell's count of words, as an array of longs that hold it above RANK_SHIFT bits."""
     cell = F.xxhash64("w").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
     counts = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n"))
     full = counts.unionByName(every).groupBy("cell").agg(_rank(F.greatest(F.sum("n"), F.lit(1))).alias("rank"))
     # one task holds the whole table: its size does not depend on the input
-    table = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda x: x["rank"]).alias("ranks"))
+    table = full.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "rank"))), lambda x: F.shiftleft(x["rank"].cast("long"), RANK_SHIFT)).alias("ranks"))
     return written(table, "word-ranks", conf={"spark.sql.codegen.aggregate.fastHashMap.capacityBit": str(CELL_BITS)})
 
 
 def _rank(n: Column) -> Column:
-    return F.floor(4 * F.log2(n)).cast("tinyint")
+    # 252 at most, at 2^63 words
+    return F.floor(4 * F.log2(n)).cast("smallint")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -101,10 +109,10 @@ def _listed(docs: DataFrame, gone: DataFrame, ranks: DataFrame) -> DataFrame:
     lines = lines.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("line_no")))
     # the ranks come in above the lines, in one projection with what reads them: no row ever carries them
     lines = lines.select("doc_id", "line_no", "line").withColumn("_ranks", ranks.scalar())
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    # 8 bits of rarity above 56 bits of hash; never null, so that arrays of them sort as plain numbers
-    rank = lambda h: F.coalesce(F.get("_ranks", h.bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")), F.lit(0).cast("tinyint")).cast("long")
-    token = lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    hashes = F.array_remove(F.array_distinct(F.transform(_pieces(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # never null, so that arrays of them sort as plain numbers
+    rank = lambda h: F.coalesce(F.get("_ranks", h.bitwiseAND(F.lit((1 << CELL_BITS) - 1))), F.lit(0).cast("long"))
+    token = lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_SHIFT))
     lines = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, token)).alias("tokens")).withColumn("n", F.size("tokens"))
     lines = lines.withColumns({"parity": _parity(0), "more": _parity(1)})
     a, b = SIMILAR
@@ -112,7 +120,7 @@ def _listed(docs: DataFrame, gone: DataFrame, ranks: DataFrame) -> DataFrame:
     prefix = F.when(F.col("n") < MIN_WORDS, 0).when(F.col("n") < 3, 1).otherwise(F.expr(f"n - (({a} * n + {b - 1}) div {b}) + 1")).cast("int")
     out = lines.withColumn("prefix", prefix)
     out = out.select("doc_id", "line_no", "n", "parity", "more", "prefix", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("place", "t"))
-    often = (F.shiftright("t", 56) >= _rank(F.lit(FREQUENT))) & (F.col("n") >= 3)
+    often = (F.shiftright("t", RANK_SHIFT) >= _rank(F.lit(FREQUENT))) & (F.col("n") >= 3)
     last = F.when(often, F.col("prefix")).otherwise(F.col("place") + 1)
     out = out.select("doc_id", "line_no", "n", "parity", "more", "tokens", "place", "t", often.alias("often"), F.explode(F.sequence(F.col("place") + 1, last)).alias("second"))
     key = F.when(F.col("n") < 3, F.xxhash64("tokens")).when(F.col("often"), F.xxhash64("t", F.get("tokens", F.col("second")))).otherwise(F.col("t"))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, html_extract, labelled, line_dedup, quality_cnn, toxicity
 
@@ -112,3 +113,18 @@ def test_line_of_a_million_words(spark):
     docs = spark.createDataFrame([(1, long), (2, long.replace("v7 ", "u ")), (3, "short line")], "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in line_dedup.deduplicated(docs).select("doc_id", "n_removed").collect()}
     assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_ranks_of_any_count(spark):
+    """Counts beyond 2^32, as of a common word in a very large corpus, have a rank, and tokens stay in its order."""
+    counts = spark.createDataFrame([(1 << k,) for k in (0, 13, 32, 40, 62)], "n long")
+    ranks = [r[0] for r in counts.orderBy("n").select(line_dedup._rank(F.col("n"))).collect()]
+    assert ranks == [4 * k for k in (0, 13, 32, 40, 62)]
+    assert max(ranks) << line_dedup.RANK_SHIFT < 1 << 63
+
+
+def test_tabs_returns_and_blank_lines(spark):
+    rows = [(1, "one two three four five"), (2, "\tfive  four\tthree two\rone \r"), (3, " \t\r\n\n \t"), (4, "\t\r\n"), (5, "one two"), (6, "one two ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.deduplicated(docs).select("doc_id", "text", "n_removed").collect()}
+    assert got == {i: (t, 0) for i, t in rows if i not in (2, 6)} | {2: ("", 1), 6: ("", 1)}
