@@ -100,13 +100,14 @@ def trimmed(probs: DataFrame, windows: DataFrame, half: int, rate: int) -> DataF
     """Frames without the seam margins; frames count anew from 0, ``offset_ms`` says where their first one lies.
 
     ``windows`` is of :func:`regions.sample_windows` with the number of ``frames`` of each.  A margin of
-    ``half`` samples goes at inner edges, unless nothing would be left.
+    ``half`` samples goes at inner edges, unless nothing would be left.  Half a millisecond of an offset
+    is rounded up.
     """
     w = windows.withColumn("_ratio", F.col("frames") / (F.col("end") - F.col("start")))
     cut = F.rint(F.lit(half) * F.col("_ratio")).cast("long")
     w = w.withColumns({"_l": F.when(F.col("start") == 0, F.lit(0)).otherwise(cut), "_r": F.when(F.col("end") >= F.col("total"), F.lit(0)).otherwise(cut)})
     fits = F.col("_l") + F.col("_r") < F.col("frames")
-    w = w.withColumn("offset_ms", F.rint((F.col("start") + F.col("_l") / F.col("_ratio")) / rate * 1000).cast("long"))
+    w = w.withColumn("offset_ms", F.round((F.col("start") + F.col("_l") / F.col("_ratio")) / rate * 1000).cast("long"))
     w = w.withColumns({"_l": F.when(fits, F.col("_l")).otherwise(0), "_r": F.when(fits, F.col("_r")).otherwise(0)})
     out = probs.join(w.select("media_id", "window", "frames", "_l", "_r", "offset_ms"), ["media_id", "window"])
     out = out.where((F.col("frame") >= F.col("_l")) & (F.col("frame") < F.col("frames") - F.col("_r")))

@@ -159,6 +159,14 @@ def test_frame_events_against_fold(spark):
     assert rows(got, "media_id", "label", "start_ms", "end_ms", "score", "prompt_relevant") == sorted((m, lab, int(a), int(b), s, r) for m, lab, a, b, s, r in want)
 
 
+def test_trimmed_offset_rounds_half_up(spark):
+    # window 6 begins at 930,000 samples; 8 frames on is 29222.5 ms, which rounds to the odd number
+    probs = spark.createDataFrame([(0, w, f, 0, 0.5) for w in (0, 2, 6) for f in range(250)], "media_id long, window long, frame long, class int, prob float")
+    starts = spark.createDataFrame([(0, w, w * 155_000, w * 155_000 + 160_000, 2_000_000, 250) for w in (0, 2, 6)], "media_id long, window long, start long, end long, total long, frames int")
+    out = frames.trimmed(probs, starts, 5_000, 32_000).groupBy("window").agg(F.count("*").alias("n"), F.min("frame").alias("f"), F.max("offset_ms").alias("at"))
+    assert sorted(map(tuple, out.collect())) == [(0, 242, 0, 0), (2, 234, 0, 9848), (6, 234, 0, 29223)]
+
+
 def test_interval_joins_against_loops(spark):
     rng = random.Random(5)
     t = [(m, o, s, s + rng.randrange(0, 2_000_000), f"spk_{rng.randrange(3)}") for m in range(6) for o, s in enumerate(rng.randrange(0, 5_000_000) for _ in range(12))]
