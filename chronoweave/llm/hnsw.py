@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 LINKS, BUILD_BEAM, STEP, FANOUT = 16, 32, 256, 16
+#: Bytes of vectors of hubs' candidates that are held at a time.
+HUBS = 32 << 20
 
 
 class Graph:
@@ -98,8 +100,10 @@ class Graph:
             part = both[~full]
             order = np.argsort(part < 0, axis=1, kind="stable")[:, : adj.shape[1]]
             adj[nodes[~full]] = np.take_along_axis(part, order, 1)
-        for a in range(0, int(full.sum()), 256):
-            own, part = nodes[full][a : a + 256], both[full][a : a + 256]
+        # a batch of hubs holds no more than HUBS bytes of their candidates' vectors
+        step = max(1, min(256, HUBS // (4 * both.shape[1] * self.vectors.shape[1])))
+        for a in range(0, int(full.sum()), step):
+            own, part = nodes[full][a : a + step], both[full][a : a + step]
             if part.shape[1] > 3 * adj.shape[1]:  # a hub: its nearest candidates
                 s = np.where(part >= 0, np.einsum("bd,bkd->bk", self.vectors[own], self.vectors[np.maximum(part, 0)]), -3)
                 part = np.take_along_axis(part, np.argpartition(-s, 3 * adj.shape[1], axis=1)[:, : 3 * adj.shape[1]], 1)

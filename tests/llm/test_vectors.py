@@ -1,6 +1,9 @@
 """Vectors at sizes where lists, graphs and exact scans matter, and odd ones."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 
 from chronoweave.llm import ann, vector_dedup
 
@@ -67,3 +70,36 @@ def test_hot_group_in_slices(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_vectors(frame(spark, v)).collect()}
     wrong = [i for i in range(len(v)) if got[i] != (int(near[i].sum()) - 1, int(comp[i]))]
     assert near.sum() > 200_000 and not wrong
+
+
+def test_graphs_in_bounded_pieces():
+    """A shard's graph is never one row, and the hits of a group larger than any beam are never held at once."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 16)).astype("<f4")
+    x[:12_000] = x[0] + rng.normal(size=(12_000, 16)) * 0.02
+    x = rng.permutation(x)
+    ids = np.arange(len(x))
+    batches = [pd.DataFrame({"shard": 0, "rep": ids[a : a + 7000], "size": 1, "x": [v.tobytes() for v in x[a : a + 7000]]}) for a in range(0, len(x), 7000)]
+    rows = pd.concat(list(vector_dedup._built("<f4")(iter(batches))))
+    assert len(rows) > 2 and max(len(r.xs) for r in rows.itertuples()) <= vector_dedup.PIECE and rows["total"].eq(len(x)).all()
+    shard = vector_dedup._Shard(list(rows.itertuples()), "<f4")
+    assert (shard.x == x).all() and (shard.ids == ids).all()
+    shard.beam = 192
+    hot = np.flatnonzero(vector_dedup.cosines(x, np.repeat(x[np.argmax(shard._counts(shard.graph.vectors[:50]))][None], len(x), 0)) >= 0.95)[:4096]
+    tracemalloc.start()
+    count, rows, _ = shard._found(shard.graph.vectors[hot])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (count >= 96).all() and not len(rows) and peak < 32 << 20
+
+
+def test_graph_of_many_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(600, 8))
+    v[300:] = v[:300] + rng.normal(size=(300, 8)) * 0.08
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(vector_dedup, "PIECE", 1000)
+    monkeypatch.setattr(vector_dedup, "SHARD_BYTES", 5000)  # 64 bytes a vector: 8 shards
+    monkeypatch.setattr(vector_dedup, "PART", 100)
+    got = {r.vec_id: r.n_links for r in vector_dedup.near_vectors(frame(spark, v)).collect()}
+    assert [got[i] for i in range(600)] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
