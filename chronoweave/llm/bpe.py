@@ -4,7 +4,7 @@ Texts are cut into pre-tokens; a block of texts keeps, per text, the positions o
 indexes into the block's own list of distinct words.  Blocks are written once.  Their lists, not every
 occurrence, go through one shuffle by word: each distinct word of the corpus is encoded once, in one
 task (a word of very many blocks by several).  The ids go back to the blocks, where texts are
-reassembled by position.  Decoding looks ids up in the token-byte table, whose size is the
+reassembled by position, piece by piece.  Decoding looks ids up in the token-byte table, whose size is the
 vocabulary's.
 """
 
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.storage import drop, written
+from chronoweave.llm.workers import FEW_ROWS, give_back
 
 #: A block ends when its texts have so many characters: bounds a worker's memory.
 BLOCK_CHARS = 40_000_000
@@ -31,6 +32,8 @@ BLOCK_CHARS = 40_000_000
 LONG_CHARS = 4_000_000
 #: Words of a block that are packed, and read again, together.
 WORDS = 20_000
+#: Positions of words in texts that are packed, and read again, together.
+PLACES = 1 << 18
 _CACHE: dict = {}
 
 
@@ -73,40 +76,46 @@ def _blocks(pattern: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = regex.compile(pattern)
         packer = zstandard.ZstdCompressor(level=3)
+        block = uuid.uuid4().hex
         index: dict[str, int] = {}
         keys: list[str | None] = []
         sizes: list[int] = []
         places: list[np.ndarray] = []
-        seen = 0
+        seen = held = piece = 0
 
-        def flush():
-            nonlocal index, keys, sizes, places, seen
-            block = uuid.uuid4().hex
-            words = list(index)
-            for a in range(0, len(words), WORDS):
-                part = [w.encode() for w in words[a : a + WORDS]]
-                raw = np.array([len(w) for w in part], "<u4").tobytes() + b"".join(part)
-                yield pd.DataFrame({"kind": ["words"], "block": [block], "n": [len(part)], "at": [a], "keys": [None], "sizes": [None], "packed": [packer.compress(raw)]})
+        def packed(last: bool = False) -> pd.DataFrame:
+            """A row of positions; keys and sizes of the block's texts stand in its last one."""
+            nonlocal held, piece
             seq = np.concatenate(places) if places else np.zeros(0, np.int32)
+            places.clear()
             # low and high bytes apart compress better than whole integers
-            raw = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-            yield pd.DataFrame({"kind": ["places"], "block": [block], "n": [len(words)], "at": [0], "keys": [keys], "sizes": [sizes], "packed": [packer.compress(raw.tobytes())]})
-            index, keys, sizes, places, seen = {}, [], [], [], 0
+            raw = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            held, piece = 0, piece + 1
+            return pd.DataFrame({"kind": ["places"], "block": [block], "n": [len(index)], "at": [piece - 1], "keys": [keys if last else None], "sizes": [sizes if last else None], "packed": [packer.compress(raw)]})
+
+        def flush():
+            nonlocal block, index, keys, sizes, seen, piece
+            words = iter(index)
+            at = 0
+            while part := [w.encode() for w in itertools.islice(words, WORDS)]:
+                raw = np.array([len(w) for w in part], "<u4").tobytes() + b"".join(part)
+                yield pd.DataFrame({"kind": ["words"], "block": [block], "n": [len(part)], "at": [at], "keys": [None], "sizes": [None], "packed": [packer.compress(raw)]})
+                at += len(part)
+            yield packed(last=True)
+            block, index, keys, sizes, seen, piece = uuid.uuid4().hex, {}, [], [], 0, 0
 
         for pdf in batches:
             for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 text = text or ""
                 number = index.setdefault
                 count = 0
-                if len(text) <= LONG_CHARS:
-                    found = [number(w, len(index)) for w in cut.findall(text)]
-                    count = len(found)
+                words = iter(cut.findall(text)) if len(text) <= LONG_CHARS else (m[0] for m in cut.finditer(text))
+                while found := [number(w, len(index)) for w in itertools.islice(words, PLACES)]:
+                    count += len(found)
+                    held += len(found)
                     places.append(np.array(found, np.int32))
-                else:
-                    matches = cut.finditer(text)
-                    while found := [number(m[0], len(index)) for m in itertools.islice(matches, 1_000_000)]:
-                        count += len(found)
-                        places.append(np.array(found, np.int32))
+                    if held >= PLACES:
+                        yield packed()
                 keys.append(None if key is None or key != key else str(key))
                 sizes.append(count)
                 seen += len(text)
@@ -114,6 +123,8 @@ def _blocks(pattern: str):
                     yield from flush()
         if keys:
             yield from flush()
+        index.clear()
+        give_back()
 
     return run
 
@@ -167,6 +178,7 @@ def _encode_words(path: str, pattern: str):
                 yield packed()
         if held:
             yield packed()
+        give_back()
 
     return run
 
@@ -183,37 +195,73 @@ def _unpacked(words: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate(ats), np.cumsum(length) - length, length, np.concatenate(flat)
 
 
+def _placed(packed: bytes) -> np.ndarray:
+    """Indexes of words, as :func:`_blocks` packed them."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return raw.reshape(4, -1).T.copy().view("<u4").ravel() if len(raw) else np.zeros(0, "<u4")
+
+
+def _runs(sizes: list[int], pieces: Iterator[np.ndarray]) -> Iterator[Iterator[np.ndarray]]:
+    """For each size, in order, the next so many elements of ``pieces``, as slices of them.
+
+    One piece is held at a time, whatever the sizes; each run is to be read before the next.
+    """
+    piece = np.zeros(0, "<u4")
+
+    def run(n: int) -> Iterator[np.ndarray]:
+        nonlocal piece
+        while n:
+            if not len(piece):
+                piece = next(pieces)
+                continue
+            own, piece = piece[:n], piece[n:]
+            n -= len(own)
+            yield own
+
+    for n in sizes:
+        yield run(int(n))
+
+
 def _assemble(path: str, pattern: str):
-    def run(key, places: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def texts(places: pd.DataFrame, words: pd.DataFrame) -> Iterator[tuple[str | None, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """Each text's key, and its ids and decoded bytes piece by piece: no block is ever held whole."""
+        if not len(places):
+            raise RuntimeError("words came back without their block")
         _, byte_flat, byte_start, byte_len = _tables(path, pattern)
-        rows = []
         at, starts, lens, flat = _unpacked(words)
         order = np.argsort(at, kind="stable")
         starts, lens = starts[order], lens[order]
-        for p in places.itertuples():
-            if p.n != len(starts):
-                raise RuntimeError(f"a block of {p.n} words came back with {len(starts)}")
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(p.packed), np.uint8)
-            seq = raw.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) if len(raw) else np.zeros(0, np.int64)
-            done = 0
-            for k, n in zip(p.keys, p.sizes, strict=True):
-                own = seq[done : done + n]
-                done += n
-                ids = _gather(flat, starts[own], lens[own])
-                text = _gather(byte_flat, byte_start[ids], byte_len[ids])
-                rows.append((k, ids, text))
-        return rows
+        places = places.sort_values("at")
+        last = places.iloc[-1]
+        if last["n"] != len(starts):
+            raise RuntimeError(f"a block of {last['n']} words came back with {len(starts)}")
+
+        def piece(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids = _gather(flat, starts[own], lens[own])
+            return ids, _gather(byte_flat, byte_start[ids], byte_len[ids])
+
+        for k, own in zip(last["keys"], _runs(last["sizes"], map(_placed, places["packed"])), strict=True):
+            yield k, map(piece, own)
 
     def digest(key, places: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        rows = run(key, places, words)
-        return pd.DataFrame(
-            [(k, len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(t.tobytes()).hexdigest()) for k, i, t in rows],
-            columns=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        rows = []
+        for k, pieces in texts(places, words):
+            n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+            for ids, text in pieces:
+                n += len(ids)
+                of_ids.update(ids.astype("<u4", copy=False))
+                of_text.update(text)
+            rows.append((k, n, of_ids.hexdigest(), of_text.hexdigest()))
+        give_back()
+        return pd.DataFrame(rows, columns=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def full(key, places: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        rows = run(key, places, words)
-        return pd.DataFrame({"key": [k for k, _, _ in rows], "ids": [i.astype(np.int32) for _, i, _ in rows], "decoded": [t.tobytes().decode("utf-8", "replace") for _, _, t in rows]})
+        rows = []
+        for k, pieces in texts(places, words):
+            got = list(pieces)
+            ids = np.concatenate([np.zeros(0, np.int32), *[i.astype(np.int32) for i, _ in got]])
+            rows.append((k, ids, b"".join(t.tobytes() for _, t in got).decode("utf-8", "replace")))
+        return pd.DataFrame(rows, columns=["key", "ids", "decoded"])
 
     return digest, full
 
@@ -222,8 +270,8 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, pattern: str, whol
     # keys go as text: beside nulls pandas would make them floats
     src = docs.select(F.col(key).cast("long").cast("string").alias("key"), F.col(text).cast("string").alias("text"))
     blocks = src.mapInPandas(_blocks(pattern), "kind string, block string, n int, at int, keys array<string>, sizes array<int>, packed binary")
-    blocks = written(blocks, "bpe-blocks", "none", by="kind")
-    n_blocks = blocks.where("kind = 'places'").count()
+    blocks = written(blocks, "bpe-blocks", "none", by="kind", conf=FEW_ROWS)
+    n_blocks = blocks.where("kind = 'places' and at = 0").count()
     words = blocks.where("kind = 'words'").select("block", "n", "at", "packed").mapInPandas(_words, "block string, at int, word string")
     # a block holds a word once: a frequent word has a row for each block, and some hundred blocks' share a task
     spread = F.floor(F.pmod(F.xxhash64("block"), F.lit(1 << 20)) * F.lit(max(1, n_blocks // 256)) / F.lit(1 << 20))
@@ -231,7 +279,7 @@ def _encoded(docs: DataFrame, key: str, text: str, path: str, pattern: str, whol
     ids = written(ids.mapInPandas(_encode_words(path, pattern), "block string, n int, packed binary"), "bpe-ids", "none")
     drop(blocks, part="kind=words")
     digest, full = _assemble(path, pattern)
-    places = blocks.where("kind = 'places'").select("block", "n", "keys", "sizes", "packed")
+    places = blocks.where("kind = 'places'").select("block", "n", "at", "keys", "sizes", "packed")
     pair = places.groupBy("block").cogroup(ids.groupBy("block"))
     if whole:
         out = pair.applyInPandas(full, "key string, ids array<int>, decoded string")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import math
 import pickle
 from collections.abc import Callable, Iterator
@@ -13,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm.workers import give_back
+
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, out: int, rows: int, most_bytes: int) -> tuple[DataFrame, float]:
     """At most ``rows`` texts as UTF-8 with their labels (``_h, _t, _y``), and a correction of the label's odds.
@@ -53,9 +52,7 @@ def learned(rows: DataFrame, train: Callable[[list[tuple[bytes, int]]], dict]) -
         got = sorted((int(h), bytes(t), int(y)) for pdf in batches for h, t, y in zip(pdf["_h"], pdf["_t"], pdf["_y"], strict=True))
         model = pickle.dumps(train([(t, y) for _, t, y in got]))
         got.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # what training took goes back to the machine: the worker lives on
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
         yield pd.DataFrame({"model": [model]})
 
     model = rows.repartition(1).mapInPandas(run, "model binary").collect()

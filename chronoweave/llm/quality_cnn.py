@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm import labelled
+from chronoweave.llm.workers import give_back
 
 CHUNK, STEP, EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 512, 448, 6, 8, 2, 32, 16
 #: Byte 256 pads the end of a text; its embedding is learned as well, so that short texts show.
@@ -146,8 +147,11 @@ def scores(docs: DataFrame, model: dict, text: str = "text", to: str = "score")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for col in batches:
-            texts = [(x or "").encode("utf-8", "replace") for x in col]
-            yield pd.Series(_scores(own, texts))
+            out = np.empty(len(col))
+            for a in range(0, len(col), 500):  # encoded copies of a few texts at a time
+                out[a : a + 500] = _scores(own, [(x or "").encode("utf-8", "replace") for x in col[a : a + 500]])
+            yield pd.Series(out)
+        give_back()
 
     return docs.withColumn(to, run(F.col(text).cast("string")))
 

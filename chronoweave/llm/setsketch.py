@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from chronoweave.llm.components import components
 from chronoweave.llm.storage import drop, light, written
+from chronoweave.llm.workers import FEW_ROWS, give_back
 
 WORDS = 5  # in a shingle
 SIMILAR = (75, 100)  # intersection / union, at least
@@ -76,6 +77,7 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mark = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
             rows.append((key, len(s), mark, registers(s).tobytes() if len(s) else None))
         yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "mark", "sketch"])
+    give_back()
 
 
 _ETA = np.arange(0.0, 1.0001, 0.01)
@@ -193,10 +195,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """Those of ``a, b`` whose full sets are similar enough.  Only texts of candidates are read into sets."""
     pairs = written(pairs, name + "-candidates")
     ids = written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), name + "-ids")
-    full = written(docs.join(light(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", _sets("text").alias("s")), name + "-sets", "lz4")
+    full = written(docs.join(light(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", _sets("text").alias("s")), name + "-sets", "lz4", conf=FEW_ROWS)
     left = full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
     right = full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    out = written(pairs.join(left, "a").join(right, "b").where(_linked("sa", "sb")).select("a", "b"), name)
+    out = written(pairs.join(left, "a").join(right, "b").where(_linked("sa", "sb")).select("a", "b"), name, conf=FEW_ROWS)
     drop(pairs, ids, full)
     return out
 
@@ -214,7 +216,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # ids go as text: beside nulls pandas would make them floats
     own = docs.withColumn("doc_id", F.col("doc_id").cast("long").cast("string"))
     sketched = own.mapInPandas(_sketched, "doc_id string, n_shingles long, mark binary, sketch binary")
-    sketched = written(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches")
+    sketched = written(sketched.withColumn("doc_id", F.col("doc_id").cast("long")), "sketches", conf=FEW_ROWS)
     real = sketched.where("doc_id is not null and mark is not null")
     classes = written(real.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     # Copies: same set, or one doc_id with several texts.

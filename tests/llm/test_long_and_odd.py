@@ -1,8 +1,11 @@
 """Seams of long texts, odd markup, labels that clash, hot words."""
 
+import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +30,30 @@ def test_bpe_blocks_inside_partitions(spark, monkeypatch):
     assert sum(r[0] is None for r in want) == 1 and sum(r[0] == -1 for r in want) == 1
 
 
+def test_bpe_memory_of_a_block():
+    """Two million words of one block: neither cutting nor putting together holds them all as numbers."""
+    rng = random.Random(4)
+    names = [f" w{i}" for i in range(500)]
+    texts = ["".join(rng.choices(names, k=20_000)) for _ in range(100)]
+    docs = pd.DataFrame({"key": [str(i) for i in range(100)], "text": texts})
+    of_text = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / 1e6
+
+    blocks, cutting = peak(lambda: pd.concat(list(bpe._blocks(public_tokenizers.PATTERN)(iter([docs])))))
+    words, places = (blocks[blocks["kind"] == kind] for kind in ("words", "places"))
+    listed = pd.concat(list(bpe._words(iter([words])))).sort_values("word")
+    ids = pd.concat(list(bpe._encode_words(RANKS, public_tokenizers.PATTERN)(iter([listed]))))
+    got, putting = peak(lambda: bpe._assemble(RANKS, public_tokenizers.PATTERN)[0]((), places, ids))
+    assert sorted(zip(got["key"].astype(int), got["decoded_sha256"], strict=True)) == list(enumerate(of_text))
+    assert cutting < 20 and putting < 30, (cutting, putting)
+
+
 def test_toxicity_has_no_seams(monkeypatch):
     rng = np.random.default_rng(4)
     text = bytes(rng.integers(97, 123, 3000, dtype=np.uint8))
