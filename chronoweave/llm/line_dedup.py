@@ -49,8 +49,10 @@ def _pieces(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line`` of lines with MIN_WORDS words or more."""
-    # a line has a word if anything is left between its outer white space: no need to count words
-    enough = F.btrim("line", F.lit(" \t\r")) != "" if MIN_WORDS == 1 else F.size(_words(F.col("line"))) >= MIN_WORDS
+    # a line has a word if anything is left between its outer white space: no need to count words.  Taking off
+    # spaces looks at the ends only, taking off a set of characters at all of the line: few lines need that
+    some = F.when(F.ascii(F.trim("line")) > 32, True).otherwise(F.btrim("line", F.lit(" \t\r")) != "")
+    enough = some if MIN_WORDS == 1 else F.size(_words(F.col("line"))) >= MIN_WORDS
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(enough)
 
 
@@ -107,13 +109,15 @@ def _listed(docs: DataFrame, gone: DataFrame, ranks: DataFrame) -> DataFrame:
     rest = _without(docs.select("doc_id", "text"), gone)
     lines = rest.select("doc_id", "_gone", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.col("_gone").isNull() | ~F.array_contains("_gone", F.col("line_no")))
-    # the ranks come in above the lines, in one projection with what reads them: no row ever carries them
-    lines = lines.select("doc_id", "line_no", "line").withColumn("_ranks", ranks.scalar())
     hashes = F.array_remove(F.array_distinct(F.transform(_pieces(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # a projection of its own, as the next one reads its column twice: inside of a transform array_distinct would not be compiled
+    lines = lines.select("doc_id", "line_no", hashes.alias("hashes")).select("doc_id", "line_no", "hashes", F.size("hashes").alias("n"))
+    # the ranks come in above the hashes, in one projection with what reads them: no row ever carries them
+    lines = lines.withColumn("_ranks", ranks.scalar())
     # never null, so that arrays of them sort as plain numbers
     rank = lambda h: F.coalesce(F.get("_ranks", h.bitwiseAND(F.lit((1 << CELL_BITS) - 1))), F.lit(0).cast("long"))
     token = lambda h: rank(h).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_SHIFT))
-    lines = lines.select("doc_id", "line_no", F.sort_array(F.transform(hashes, token)).alias("tokens")).withColumn("n", F.size("tokens"))
+    lines = lines.select("doc_id", "line_no", F.sort_array(F.transform("hashes", token)).alias("tokens"), "n")
     lines = lines.withColumns({"parity": _parity(0), "more": _parity(1)})
     a, b = SIMILAR
     # of two similar lines neither has more than n - prefix + 1 words that the other lacks; lines of one or two words only match equal sets
@@ -200,6 +204,19 @@ def _sign(k: int) -> Column:
     return F.aggregate("hashes", F.lit(0).cast("long"), lambda t, h: F.when(F.shiftright(h, 7).bitwiseAND(F.lit(3)) == k, t.bitwiseXOR(bit(h))).otherwise(t))
 
 
+def _order(docs: DataFrame) -> Column:
+    """One number that ascends with (doc_id, line_no).
+
+    Documents share one only where ids spread over more than 2^39, lines only beyond 2^24 of a document:
+    a list then has more than one earliest line, which costs time and changes no result.
+    """
+    ids = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).first()
+    least, most = int(ids["least"] or 0), int(ids["most"] or 0)
+    shift = max(0, (most - least).bit_length() - 39)
+    doc = F.shiftright(F.col("doc_id").cast("long"), shift) - F.lit(least >> shift).cast("long")
+    return F.shiftleft(doc, 24) + F.least(F.col("line_no"), F.lit((1 << 24) - 1)).cast("long")
+
+
 def later_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0) of all lines to remove, some more than once."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
@@ -211,8 +228,11 @@ def later_matches(docs: DataFrame) -> DataFrame:
     later = (F.col("doc_id") > F.col("doc2")) | ((F.col("doc_id") == F.col("doc2")) & (F.col("line_no") > F.col("line2")))
     pair = ("doc_id", "line_no", "doc2", "line2")
 
-    first = listed.groupBy("token").agg(F.min(F.struct(*line)).alias("f"), F.count("*").alias("rows")).where("rows > 1")
-    first = first.select(F.col("token").alias("token2"), F.col("f.doc_id").alias("doc2"), F.col("f.line_no").alias("line2"), F.col("f.size").alias("size2"), F.col("f.parity").alias("parity2"), F.col("f.more").alias("more2"))
+    # a least number can be aggregated by hash, in compiled code; a least struct, or one with all that a line has, cannot
+    order = _order(docs)
+    first = listed.groupBy(F.col("token").alias("token2")).agg(F.min(order).alias("o"), F.count("*").alias("rows")).where("rows > 1")
+    first = listed.join(first, F.col("token") == F.col("token2")).where(order <= F.col("o"))  # an equality would become a key of the join, by which the lists are not dealt
+    first = first.select("token2", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("size").alias("size2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
     early = listed.join(first, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair).distinct()
     early = written(early, "lines-early", sorted_buckets=True)
     words = _texts(early, docs, "lines-early")
