@@ -155,3 +155,11 @@ def test_tabs_returns_and_blank_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.deduplicated(docs).select("doc_id", "text", "n_removed").collect()}
     assert got == {i: (t, 0) for i, t in rows if i not in (2, 6)} | {2: ("", 1), 6: ("", 1)}
+
+
+def test_order_of_lines(spark):
+    """The number by which a list's earliest line is found ascends with (doc_id, line_no), whatever the ids."""
+    for ids in ([0, 1, 7], [-(1 << 63), -5, 0, 3 << 40, (1 << 63) - 1], [(1 << 63) - 3, (1 << 63) - 1]):
+        docs = spark.createDataFrame([(i, n) for i in ids for n in (0, 1, 5000)], "doc_id long, line_no int")
+        got = [r["o"] for r in docs.select("doc_id", "line_no", line_dedup._order(docs).alias("o")).orderBy("doc_id", "line_no").collect()]
+        assert got == sorted(got) and (ids[0] < 0 or len(set(got)) == len(got))
