@@ -11,8 +11,11 @@ share two words at least, and the second is not far behind.  So no list is as lo
 word's count.  Two lines of a list are candidates if their lengths, the places of the word in both
 orders, and a 128-bit parity of their words allow the similarity; they are verified on their words.
 
-Whether a line goes takes one earlier match only.  So each list is first held against its earliest
-line; only lines that this did not remove are then held against all earlier lines of their lists.  A large group of variants of one line thus costs its size, not its square.
+Whether a line goes takes one earlier match only.  So each list of GROUP rows or more is first held
+against its earliest line, and what GROUP lines or more may match in this way is verified; only lines that this did not
+remove are then held against all earlier lines of their lists.  A large group of variants of one line
+thus costs its size, not its square.  A line meets only those lines of a list whose sizes, in bands,
+allow the similarity.
 """
 
 from __future__ import annotations
@@ -34,6 +37,12 @@ RANK_SHIFT = 55
 FREQUENT = 1 << 13
 #: Lines that equal so many others are joined apart from the rest.
 COMMON = 1000
+#: Lines that may match one earlier line are a group from this number on; fewer are held against all of their lists at once.
+GROUP = 16
+#: From so many pairs a line, wide parities are held against each other before words.
+MANY = 4
+#: Lists of so many rows a bucket are joined in memory; longer ones by sorting.
+IN_MEMORY = 1 << 20
 
 
 def _words(line: Column) -> Column:
@@ -63,22 +72,31 @@ def _repeated(docs: DataFrame) -> DataFrame:
     no task gets all places of one line.
     """
     lines = written(_lines(docs).select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")), "lines")
-    first = lines.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("h", "h2", F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("l"), "n"), "lines-classes")
+    place = _place(lines)
+    first = lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "lines-classes")
     parts = [light(first)]
     if parts[0] is first:
         common = written(first.where(F.col("n") >= COMMON), "lines-common")
         parts = [light(common), first.where(F.col("n") < COMMON)]
-    later = F.struct("doc_id", "line_no") > F.struct(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))
     out = None
     for part in parts:
-        found = lines.join(part, ["h", "h2"]).where(later).select("doc_id", "line_no")
+        found = lines.join(part, ["h", "h2"]).where(place > F.col("first")).select("doc_id", "line_no")
         out = found if out is None else out.unionByName(found)
     out = written(out, "lines-equal")
     drop(lines, first)
     return out
 
 
+def _place(lines: DataFrame) -> Column:
+    """What ascends with (doc_id, line_no) and differs for each: one number where it holds both, as its least is found by hash aggregation."""
+    most = lines.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("line_no").alias("line")).first()
+    least = int(most["least"] or 0)
+    if (int(most["most"] or 0) - least).bit_length() > 39 or (most["line"] or 0) >= 1 << 24:
+        return F.struct("doc_id", "line_no")
+    return F.shiftleft(F.col("doc_id").cast("long") - F.lit(least).cast("long"), 24) + F.col("line_no").cast("long")
+
+
 def _ranks(docs: DataFrame) -> DataFrame:
     """One row with 4 * log2 of each hash cell's count of words, as an array of longs that hold it above RANK_SHIFT bits."""
     cell = F.xxhash64("w").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
@@ -125,8 +143,8 @@ def _listed(docs: DataFrame, gone: DataFrame, ranks: DataFrame) -> DataFrame:
     out = lines.withColumn("prefix", prefix)
     out = out.select("doc_id", "line_no", "n", "parity", "more", "prefix", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("place", "t"))
     often = (F.shiftright("t", RANK_SHIFT) >= _rank(F.lit(FREQUENT))) & (F.col("n") >= 3)
-    last = F.when(often, F.col("prefix")).otherwise(F.col("place") + 1)
-    out = out.select("doc_id", "line_no", "n", "parity", "more", "tokens", "place", "t", often.alias("often"), F.explode(F.sequence(F.col("place") + 1, last)).alias("second"))
+    second = F.when(often, F.sequence(F.col("place") + 1, F.col("prefix"))).otherwise(F.array(F.col("place") + 1))
+    out = out.select("doc_id", "line_no", "n", "parity", "more", "tokens", "place", "t", often.alias("often"), F.explode(second).alias("second"))
     key = F.when(F.col("n") < 3, F.xxhash64("tokens")).when(F.col("often"), F.xxhash64("t", F.get("tokens", F.col("second")))).otherwise(F.col("t"))
     # at the first pair shared, what follows in both is counted from the place before the second word
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("second") - 1).cast("long"))
@@ -162,16 +180,28 @@ def _may_match() -> Column:
     return lengths & parities & places
 
 
+def _band(n: Column) -> Column:
+    """A number that never falls as ``n`` grows: five to an octave."""
+    return F.floor(5 * F.log2(n)).cast("int")
+
+
+def _bands() -> Column:
+    """The bands of all sizes that a row (``size``) may match by lengths and by its own place, as an array."""
+    a, b = SIMILAR
+    n, i = F.shiftright("size", 32), F.col("size").bitwiseAND(F.lit((1 << 32) - 1))
+    least = F.expr(f"({a} * shiftright(size, 32) + {b - 1}) div {b}")
+    # (a + b) * (n - i) >= a * (n + m), and no more than lengths allow as i is 0 at least
+    most = F.floor((b * n - (a + b) * i) / a)
+    return F.when(most >= least, F.sequence(_band(least), _band(most)))
+
+
 def _texts(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """``doc_id, line_no, words, s0, .. s3``: the lines of ``pairs`` with their distinct words and a 256-bit parity of them."""
+    """``doc_id, line_no, words``: the lines of ``pairs`` with their distinct words."""
     ids = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("doc2").alias("doc_id"), F.col("line2").alias("line_no"))).distinct()
     wanted = written(ids.groupBy("doc_id").agg(F.collect_set("line_no").alias("_want")).withColumnRenamed("doc_id", "_doc"), name + "-wanted")
     texts = docs.select("doc_id", "text").join(light(wanted), F.col("doc_id") == F.col("_doc"))
     lines = texts.select("doc_id", "_want", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("_want", F.col("line_no")))
     words = lines.select("doc_id", "line_no", F.array_distinct(_words(F.col("line"))).alias("words")).dropDuplicates(["doc_id", "line_no"])
-    # 31 bits of a hash, so that shifts of it are whole numbers
-    words = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1))))
-    words = words.select("doc_id", "line_no", "words", *[_sign(k).alias(f"s{k}") for k in range(4)])
     words = written(words, name + "-words")
     drop(wanted)
     return words
@@ -180,22 +210,34 @@ def _texts(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 def _matched(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
     """``doc_id, line_no`` of each later line of the written table ``pairs`` (doc_id, line_no, doc2, line2) that is similar enough."""
     a, b = SIMILAR
-    # wide parities first: they refute most of many candidates by 32 bytes of each line
-    signs = words.select("doc_id", "line_no", F.size("words").alias("n"), *[F.col(f"s{k}") for k in range(4)])
+    near = pairs
+    right = words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
+    if pairs.count() >= MANY * words.count():
+        near = _near(pairs, words, name)
+        # the lines that a pair names, and no others, go through the shuffle
+        right = right.join(light(written(near.select("doc2", "line2").distinct(), name + "-wanted")), ["doc2", "line2"], "left_semi")
+    left = words.select("doc_id", "line_no", F.col("words").alias("x")).join(light(near), ["doc_id", "line_no"])
+    # both / (x + y - both) >= a / b, with one intersection
+    out = left.join(right, ["doc2", "line2"]).where((a + b) * F.size(F.array_intersect("x", "y")) >= a * (F.size("x") + F.size("y")))
+    out = written(out.select("doc_id", "line_no").distinct(), name)
+    if near is not pairs:
+        drop(near)
+    return out
+
+
+def _near(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
+    """Those of ``pairs`` that 256-bit parities of their words do not refute: 32 bytes of each line."""
+    a, b = SIMILAR
+    # 31 bits of a hash, so that shifts of it are whole numbers
+    signs = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << 31) - 1))))
+    signs = written(signs.select("doc_id", "line_no", F.size("words").alias("n"), *[_sign(k).alias(f"s{k}") for k in range(4)]), name + "-signs")
     other = signs.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("n").alias("n2"), *[F.col(f"s{k}").alias(f"t{k}") for k in range(4)])
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"t{k}"))) for k in range(4)), F.lit(0))
     near = signs.join(light(pairs), ["doc_id", "line_no"]).join(other, ["doc2", "line2"])
     near = near.where((a + b) * (F.col("n") + F.col("n2") - apart) >= 2 * a * (F.col("n") + F.col("n2"))).select("doc_id", "line_no", "doc2", "line2")
     near = written(near, name + "-near")
-    left = words.select("doc_id", "line_no", F.col("words").alias("x")).join(light(near), ["doc_id", "line_no"])
-    right = words.select(F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("words").alias("y"))
-    # the lines that a pair names, and no others, go through the shuffle
-    right = right.join(light(written(near.select("doc2", "line2").distinct(), name + "-wanted")), ["doc2", "line2"], "left_semi")
-    both = F.size(F.array_intersect("x", "y"))
-    out = left.join(right, ["doc2", "line2"]).where(b * both >= a * (F.size("x") + F.size("y") - both))
-    out = written(out.select("doc_id", "line_no").distinct(), name)
-    drop(near)
-    return out
+    drop(signs)
+    return near
 
 
 def _sign(k: int) -> Column:
@@ -219,6 +261,7 @@ def _order(docs: DataFrame) -> Column:
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no`` (from 0) of all lines to remove, some more than once."""
+    ids = docs.select("doc_id")
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     equal = _repeated(docs)
     ranks = _ranks(docs)
@@ -229,12 +272,14 @@ def later_matches(docs: DataFrame) -> DataFrame:
     pair = ("doc_id", "line_no", "doc2", "line2")
 
     # a least number can be aggregated by hash, in compiled code; a least struct, or one with all that a line has, cannot
-    order = _order(docs)
-    first = listed.groupBy(F.col("token").alias("token2")).agg(F.min(order).alias("o"), F.count("*").alias("rows")).where("rows > 1")
+    order = _order(ids)
+    first = listed.groupBy(F.col("token").alias("token2")).agg(F.min(order).alias("o"), F.count("*").alias("rows")).where(F.col("rows") >= GROUP)
     first = listed.join(first, F.col("token") == F.col("token2")).where(order <= F.col("o"))  # an equality would become a key of the join, by which the lists are not dealt
     first = first.select("token2", F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("size").alias("size2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
     early = listed.join(first, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair).distinct()
     early = written(early, "lines-early", sorted_buckets=True)
+    groups = written(early.groupBy("doc2", "line2").count().where(F.col("count") >= GROUP).select("doc2", "line2"), "lines-groups")
+    early = written(early.join(light(groups), ["doc2", "line2"], "left_semi").select(*pair), "lines-early")
     words = _texts(early, docs, "lines-early")
     gone = _matched(early, words, "lines-first")
     drop(early, words)
@@ -242,11 +287,20 @@ def later_matches(docs: DataFrame) -> DataFrame:
     done = light(gone.select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l")))
     open_ = listed.join(done, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_l")), "left_anti")
     all_ = listed.select(F.col("token").alias("token2"), F.col("doc_id").alias("doc2"), F.col("line_no").alias("line2"), F.col("size").alias("size2"), F.col("parity").alias("parity2"), F.col("more").alias("more2"))
-    rest = open_.join(all_, F.col("token") == F.col("token2")).where(later & _may_match()).select(*pair, _apart().alias("apart")).distinct()
-    rest = written(rest, "lines-open", sorted_buckets=True)
+    open_ = open_.withColumn("band", F.explode(_bands()))
+    all_ = all_.withColumn("band2", _band(F.shiftright("size2", 32)))
+    if listed.count() <= IN_MEMORY * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        all_ = all_.hint("shuffle_hash")
+    rest = open_.join(all_, (F.col("token") == F.col("token2")) & (F.col("band") == F.col("band2"))).where(later & _may_match()).select(*pair, _apart().alias("apart")).distinct()
+    # lists are dealt by token alone
+    rest = written(rest, "lines-open", sorted_buckets=True, conf={"spark.sql.requireAllClusterKeysForCoPartition": "false"})
     drop(listed)
-    # the likeliest match of each line first, the others for lines that it did not remove
     words = _texts(rest, docs, "lines-rest")
+    if rest.count() < MANY * words.count():
+        more = _matched(rest.select(*pair), words, "lines-more")
+        drop(rest, words)
+        return equal.unionByName(gone).unionByName(more)
+    # the likeliest match of each line first, the others for lines that it did not remove
     best = rest.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "doc2", "line2")).alias("b")).select("doc_id", "line_no", "b.doc2", "b.line2")
     best = written(best, "lines-likeliest")
     more = _matched(best, words, "lines-best")

@@ -163,3 +163,39 @@ def test_order_of_lines(spark):
         docs = spark.createDataFrame([(i, n) for i in ids for n in (0, 1, 5000)], "doc_id long, line_no int")
         got = [r["o"] for r in docs.select("doc_id", "line_no", line_dedup._order(docs).alias("o")).orderBy("doc_id", "line_no").collect()]
         assert got == sorted(got) and (ids[0] < 0 or len(set(got)) == len(got))
+
+
+def test_bands_hold_all_sizes_that_may_match(spark):
+    """A line is held against every size that lengths and its place in a list allow, and against few others."""
+    sizes = [*range(1, 130), 999, 1000, 1001, 123_456]
+    rows = [(n, i) for n in sizes for i in sorted({0, 1, n // 7, n // 4}) if 4 * n - 7 * i >= 0]
+    got = spark.createDataFrame(rows, "n long, i long").select("n", "i", (F.col("n") * (1 << 32) + F.col("i")).alias("size")).select("n", "i", line_dedup._bands().alias("bands"))
+    band = {r.m: r.b for r in spark.range(1, 170_000).select(F.col("id").alias("m"), line_dedup._band(F.col("id")).alias("b")).collect()}
+    assert all(band[m] <= band[m + 1] for m in range(1, 169_999))
+    for r in got.collect():
+        held = set(r.bands or [])
+        allowed = {band[m] for m in range(-(-3 * r.n // 4), 4 * r.n // 3 + 1) if 7 * (r.n - r.i) >= 3 * (r.n + m)}
+        assert allowed <= held and len(held) <= 6, (r.n, r.i)
+        assert not allowed or (min(held), max(held)) == (min(allowed), max(allowed)), (r.n, r.i)
+
+
+def test_ways_of_line_dedup_agree(spark, monkeypatch):
+    """Lists joined in memory or by sorting, groups from any number on, with or without wide parities: the same lines go."""
+    rng = random.Random(11)
+    rows, seen, want = [], [], set()
+    for i in range(90):
+        w = [f"g{i % 3}w{k}" for k in range(rng.randrange(18, 27))]
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"o{rng.randrange(30)}"
+        s = frozenset(w)
+        if any(4 * len(s & o) >= 3 * len(s | o) for o in seen):
+            want.add(i)
+        seen.append(s)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 20 < len(want) < 90
+    for group, many, in_memory in ((16, 4, 1 << 20), (2, 0, 0), (1 << 40, 1 << 40, 0)):
+        monkeypatch.setattr(line_dedup, "GROUP", group)
+        monkeypatch.setattr(line_dedup, "MANY", many)
+        monkeypatch.setattr(line_dedup, "IN_MEMORY", in_memory)
+        assert {r.doc_id for r in line_dedup.later_matches(docs).collect()} == want
